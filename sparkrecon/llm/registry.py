@@ -7,20 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import mixing, text
+from sparkrecon.llm import mixing, quality, text, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words"]
+    judged = quality.rules(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return tokens.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", "source", text.n_words(F.col("text")).alias("size"))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_mix_sources": op7_mix_sources}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_token_counts": op2_token_counts,
+        "op7_mix_sources": op7_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
