@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import mixing, quality, text, tokens
+from sparkrecon.llm import embeddings, mixing, quality, shingles, text, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,16 +25,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    return embeddings.near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", "source", text.n_words(F.col("text")).alias("size"))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), k=3, p=90, q=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
+        "op6_embedding_near_duplicates": op6_embedding_near_duplicates,
         "op7_mix_sources": op7_mix_sources,
+        "op8_jaccard_join": op8_jaccard_join,
     }
 
 
