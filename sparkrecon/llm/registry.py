@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import embeddings, lm, mixing, quality, shingles, text, tokens, toxicity
+from sparkrecon.llm import embeddings, lm, mixing, packing, quality, quotes, shingles, templates, text, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return templates.drop_templates(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
@@ -49,15 +54,28 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), k=3, p=90, q=100)
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return quotes.link(messages)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return packing.pack(docs.select("doc_id", "source", packing.same_words(F.col("text")).alias("cluster"), text.n_words(F.col("text")).alias("size")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
         "op3_lm_scores": op3_lm_scores,
+        "op4_line_templates": op4_line_templates,
         "op5_toxicity": op5_toxicity,
         "op6_embedding_near_duplicates": op6_embedding_near_duplicates,
         "op7_mix_sources": op7_mix_sources,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_quotation_links": op9_quotation_links,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 

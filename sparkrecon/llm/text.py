@@ -32,3 +32,10 @@ def normal_line(line: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id falls into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
+
+
+def word_span(text: Column, start: Column, end: Column) -> Column:
+    """The text from word number start (from 0) up to word number end, white space between them as it is."""
+    begun = F.regexp_replace(text, f"^{SPACE}", "")
+    with_space = F.split(begun, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    return F.array_join(F.slice(with_space, start.cast("int") + 1, (end - start).cast("int")), "")
