@@ -128,7 +128,7 @@ def repair_notice(c: Column) -> Column:
 
 def notice_parts(c: Column) -> Column:
     """struct<prefix, district, year, number> of a notice; null where it is none."""
-    pattern = rf"^(..公积金中心)([一-鿿]{{0,4}}?)[责贵]字{_BRACKET[0]}(\d{{4}}){_BRACKET[1]}(\d+(?:-\d+)?)号"
+    pattern = rf"^([一-鿿]{{1,2}}公积金中心)([一-鿿]{{0,4}}?)[责贵]字{_BRACKET[0]}(\d{{4}}){_BRACKET[1]}(\d+(?:-\d+)?)号"
     part = lambda i: F.regexp_extract(c, pattern, i)
     names = ("prefix", "district", "year", "number")
     return F.when(c.rlike(pattern), F.struct(*[part(i + 1).alias(n) for i, n in enumerate(names)]))

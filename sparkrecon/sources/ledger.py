@@ -59,7 +59,7 @@ def files(spark: SparkSession, path: str, suffix: str = "", recursive: bool = Tr
 
 def text_pages(spark: SparkSession, path: str, mark: str = "\f") -> DataFrame:
     """Text files as pages (file, page, text), cut at form feeds; pages without text are left out."""
-    whole = files(spark, path).select(F.col("name").alias("file"), F.split(F.decode("content", F.lit("utf-8")), mark).alias("pages"))
+    whole = files(spark, path).select(F.col("name").alias("file"), F.split(F.decode("content", "utf-8"), mark).alias("pages"))
     return whole.select("file", F.posexplode("pages").alias("page", "text")).select("file", (F.col("page") + 1).alias("page"), T.strip(F.col("text")).alias("text")).filter("text <> ''")
 
 
