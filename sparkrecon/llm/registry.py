@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import embeddings, lm, mixing, packing, quality, quotes, shingles, templates, text, tokens, toxicity
+from sparkrecon.llm import embeddings, lm, mixing, oracle, packing, quality, quotes, shingles, templates, text, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are tested against brute force: hashed folds with learned weights, seeded shuffles, tokenizers."""
+    return {
+        "op1_quality_rules": oracle.QUALITY,
+        "op4_line_templates": oracle.TEMPLATES,
+        "op6_embedding_near_duplicates": oracle.EMBEDDINGS,
+        "op8_jaccard_join": oracle.JACCARD,
+    }
