@@ -50,7 +50,10 @@ def base_counts(docs: DataFrame, window: int = 5) -> DataFrame:
         lambda acc, p: F.struct((acc["n"] + p + window - F.greatest(p, acc["end"])).alias("n"), (p + window).alias("end")),
         lambda acc: acc["n"],
     )
-    return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_windows", "_order")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    found = F.struct(*counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # a generator: no later filter on a count is moved below it, where it would sort the windows again for each window
+    return step.select(*docs.columns, F.explode(F.array(found)).alias("_counts")).select(*docs.columns, "_counts.*")
 
 
 def hashed_lines(docs: DataFrame, host: str) -> DataFrame:
