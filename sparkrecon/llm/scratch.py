@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -18,6 +19,11 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A table that has been written, marked for broadcast if it has at most so many rows; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder as Parquet and read it back.
 

@@ -12,52 +12,57 @@ ANY = "<*>"
 _NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _tokens(line: Column) -> Column:
-    return text.words(F.regexp_replace(line, _NUMBERED, ANY))
+def _shape(line: Column) -> Column:
+    """The line's words, one space between them, those with digits as <*>. Plain lines are only looked through."""
+    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NUMBERED, ANY)).otherwise(line)
+    return F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, text.SPACE, " ")).otherwise(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row a line with a word: the text's hash, the line's tokens and length, and the hash of its shape."""
+    """One row a line with a word: the text's hash and the line's shape."""
     found = docs.select(F.xxhash64("text").alias("body"), F.explode(F.split(F.col("text"), "\n")).alias("line"))
-    found = found.select("body", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    return found.select("body", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("shape"))
+    # a generator, so that the shape is worked out once a line
+    found = found.select("body", F.explode(F.array(_shape(F.col("line")))).alias("shape"))
+    return found.filter("shape <> ''")
 
 
 def _leaf(depth: int) -> Column:
     """The leaf a line comes to: its number of tokens, then its leading tokens."""
-    return F.xxhash64("n", *[F.get("tokens", F.lit(i)) for i in range(depth)])
+    shape = F.col("shape")
+    return F.xxhash64(F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))), F.substring_index(shape, " ", depth))
 
 
-def recurring(docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7) -> DataFrame:
-    """Shapes (hashes of a line's tokens, words with digits as <*>) whose template recurs.
+def recurring(docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Lines (leaf, shape, body; shape and body hashed) and the shapes whose template recurs.
 
     A line goes down the tree by its number of tokens and its first depth tokens. In the leaf, a token at a place
     is fixed if lines in over the limit of documents have it there, and any other is generalised to <*>. Lines with
     the same fixed tokens are of one template; it recurs if at least the fixed share of its tokens is fixed
     and over the limit of documents hold it. The limit is max(least, share * different texts). Leaves that no
-    recurring template can be in are left out first: a template has no more documents than its leaf.
+    recurring template can be in are left out first: a template has no more documents than its leaf. A leaf's
+    fixed tokens are a short list (each takes over the limit of documents), so they meet a shape in one row.
     """
     bodies = docs.select(F.xxhash64("text").alias("body")).groupBy("body").count()
     limit = F.lit(max(float(least), share * bodies.count()))
     seen = scratch.table(
-        _lines(docs).select("body", _leaf(depth).alias("leaf"), "shape").groupBy("leaf", "shape", "body").count().select("leaf", "shape", "body"), "lines"
+        _lines(docs).select("body", _leaf(depth).alias("leaf"), F.xxhash64("shape").alias("shape")).groupBy("leaf", "shape", "body").count().select("leaf", "shape", "body"), "lines"
     )
     leaves = seen.groupBy("leaf", "body").count().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit)
-    leaves = scratch.table(leaves.select(F.col("leaf").alias("wanted")), "leaves")
-    counts = seen.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("docs")).join(leaves, F.col("leaf") == F.col("wanted"), "left_semi")
-    texts = _lines(docs).select(_leaf(depth).alias("leaf"), "shape", "tokens").join(leaves, F.col("leaf") == F.col("wanted"), "left_semi")
-    texts = texts.groupBy("shape").agg(F.first("tokens").alias("tokens")).withColumnRenamed("shape", "_shape")
-    shapes = scratch.table(counts.join(texts, F.col("shape") == F.col("_shape")).select("leaf", "shape", "docs", "tokens"), "shapes")
-    places = shapes.select("leaf", "shape", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
-    known = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held")).filter((F.col("held") > limit) & (F.col("token") != ANY))
-    known = scratch.table(known.select(F.col("leaf").alias("_leaf"), F.col("at").alias("_at"), F.col("token").alias("_token")), "fixed-tokens")
-    kept = places.join(known, (F.col("leaf") == F.col("_leaf")) & (F.col("at") == F.col("_at")) & (F.col("token") == F.col("_token")), "left_semi")
-    generalised = kept.groupBy("leaf", "shape", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("parts"))
-    generalised = generalised.filter(F.size("parts") >= fixed * F.col("n")).select("shape", F.xxhash64("leaf", "parts").alias("template"))
-    generalised = scratch.table(generalised.withColumnRenamed("shape", "_of"), "templates")
-    held = seen.join(generalised, F.col("shape") == F.col("_of")).select("template", "body", "shape")
+    leaves = scratch.broadcast_if_small(scratch.table(leaves.select(F.col("leaf").alias("wanted")), "leaves"))
+    counts = seen.join(leaves, F.col("leaf") == F.col("wanted"), "left_semi").groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("docs"))
+    texts = _lines(docs).select(_leaf(depth).alias("leaf"), F.xxhash64("shape").alias("_shape"), "shape").join(leaves, F.col("leaf") == F.col("wanted"), "left_semi")
+    texts = texts.groupBy("_shape").agg(F.first("shape").alias("words"))
+    shapes = scratch.table(counts.join(texts, F.col("shape") == F.col("_shape")).select("leaf", "shape", "docs", F.split("words", " ").alias("tokens")), "shapes")
+    placed = F.transform("tokens", lambda x, i: F.when(x != ANY, F.concat(i.cast("string"), F.lit(" "), x)))
+    places = shapes.select("leaf", "docs", F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("token"))
+    known = places.groupBy("leaf", "token").agg(F.sum("docs").alias("held")).filter(F.col("held") > limit)
+    known = scratch.table(known.groupBy(F.col("leaf").alias("_leaf")).agg(F.collect_list("token").alias("_fixed")), "fixed-tokens")
+    kept = shapes.join(known, F.col("leaf") == F.col("_leaf")).select("leaf", "shape", F.size("tokens").alias("n"), F.array_intersect(placed, F.col("_fixed")).alias("parts"))
+    generalised = kept.filter(F.size("parts") >= fixed * F.col("n")).select(F.col("shape").alias("_of"), F.xxhash64("leaf", "parts").alias("template"))
+    generalised = scratch.table(generalised, "templates")
+    held = seen.join(generalised, F.col("shape") == F.col("_of")).select("template", "body")
     often = held.groupBy("template", "body").count().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit)
-    return generalised.join(often, "template", "left_semi").select(F.col("_of").alias("shape"))
+    return seen, generalised.join(often, "template", "left_semi").select(F.col("_of").alias("shape"))
 
 
 def drop_templates(docs: DataFrame, least: int = 20, share: float = 0.005, most_lost: float = 0.5, depth: int = 2, fixed: float = 0.7) -> DataFrame:
@@ -67,13 +72,15 @@ def drop_templates(docs: DataFrame, least: int = 20, share: float = 0.005, most_
     whole: it is a copy of others rather than a document with boilerplate, and whole documents are for the
     near-duplicate stage. Copies of a text count as one document. Null and wordless texts have no lines and stay.
     """
-    found = scratch.table(recurring(docs, least, share, depth, fixed).distinct().withColumnRenamed("shape", "_recurs"), "recurring")
-    lines = _lines(docs).select("body", "shape").join(found, F.col("shape") == F.col("_recurs"), "left_semi")
+    seen, found = recurring(docs, least, share, depth, fixed)
+    found = scratch.table(found.withColumnRenamed("shape", "_recurs"), "recurring")
+    lines = seen.join(found, F.col("shape") == F.col("_recurs"), "left_semi")
     touched = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_body"), "touched")
-    joined = docs.withColumn("_own", F.xxhash64("text")).join(touched, F.col("_own") == F.col("_body"), "left")
+    # merged at any size: what shares lines grows with the documents
+    joined = docs.withColumn("_own", F.xxhash64("text")).join(touched.hint("merge"), F.col("_own") == F.col("_body"), "left")
     rest = F.filter(
         F.split(F.col("text"), "\n"),
-        lambda x: ~(x.rlike(text.WORD)) | ~F.array_contains(F.col("_shapes"), F.xxhash64(_tokens(x))),
+        lambda x: ~(x.rlike(text.WORD)) | ~F.array_contains(F.col("_shapes"), F.xxhash64(_shape(x))),
     )
     words = text.n_words(F.col("text"))
     worded = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(text.WORD)))
