@@ -54,9 +54,21 @@ def recurring(docs: DataFrame, least: int, share: float, depth: int = 2, fixed:
     texts = texts.groupBy("_shape").agg(F.first("shape").alias("words"))
     shapes = scratch.table(counts.join(texts, F.col("shape") == F.col("_shape")).select("leaf", "shape", "docs", F.split("words", " ").alias("tokens")), "shapes")
     placed = F.transform("tokens", lambda x, i: F.when(x != ANY, F.concat(i.cast("string"), F.lit(" "), x)))
-    places = shapes.select("leaf", "docs", F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("token"))
-    known = places.groupBy("leaf", "token").agg(F.sum("docs").alias("held")).filter(F.col("held") > limit)
-    known = scratch.table(known.groupBy(F.col("leaf").alias("_leaf")).agg(F.collect_list("token").alias("_fixed")), "fixed-tokens")
+    lead = shapes.groupBy("leaf").agg(F.max_by("tokens", F.struct("docs", "shape")).alias("_lead"), F.sum("docs").alias("_all"))
+    lead = scratch.table(lead.withColumnRenamed("leaf", "_leaf"), "leads")
+    # Only what differs from the leaf's most frequent line is taken apart; what agrees with it is the rest of the leaf.
+    others = F.filter(
+        F.transform("tokens", lambda x, i: F.when(x != F.get(F.col("_lead"), i), F.struct(i.alias("place"), x.alias("token")))), lambda x: x.isNotNull()
+    )
+    apart = shapes.join(lead, F.col("leaf") == F.col("_leaf")).select("leaf", "docs", F.explode(others).alias("x"))
+    apart = scratch.table(apart.groupBy("leaf", "x.place", "x.token").agg(F.sum("docs").alias("held")), "other-tokens")
+    known = apart.filter((F.col("token") != ANY) & (F.col("held") > limit)).select("leaf", "place", "token")
+    away = apart.groupBy(F.col("leaf").alias("_l"), F.col("place").alias("_p")).agg(F.sum("held").alias("_away"))
+    own = lead.select(F.col("_leaf").alias("leaf"), "_all", F.posexplode("_lead").alias("place", "token"))
+    own = own.join(away, (F.col("leaf") == F.col("_l")) & (F.col("place") == F.col("_p")), "left")
+    own = own.filter((F.col("token") != ANY) & (F.col("_all") - F.coalesce("_away", F.lit(0)) > limit)).select("leaf", "place", "token")
+    known = known.unionByName(own).groupBy(F.col("leaf").alias("_leaf")).agg(F.collect_list(F.concat(F.col("place").cast("string"), F.lit(" "), "token")).alias("_fixed"))
+    known = scratch.table(known, "fixed-tokens")
     kept = shapes.join(known, F.col("leaf") == F.col("_leaf")).select("leaf", "shape", F.size("tokens").alias("n"), F.array_intersect(placed, F.col("_fixed")).alias("parts"))
     generalised = kept.filter(F.size("parts") >= fixed * F.col("n")).select(F.col("shape").alias("_of"), F.xxhash64("leaf", "parts").alias("template"))
     generalised = scratch.table(generalised, "templates")
