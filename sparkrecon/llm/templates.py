@@ -26,26 +26,35 @@ def _lines(docs: DataFrame) -> DataFrame:
     return found.filter("shape <> ''")
 
 
+def _n_tokens() -> Column:
+    shape = F.col("shape")
+    return F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))) + 1
+
+
 def _leaf(depth: int) -> Column:
     """The leaf a line comes to: its number of tokens, then its leading tokens."""
-    shape = F.col("shape")
-    return F.xxhash64(F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))), F.substring_index(shape, " ", depth))
+    return F.xxhash64(_n_tokens() - 1, F.substring_index("shape", " ", depth))
 
 
-def recurring(docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Lines (leaf, shape, body; shape and body hashed) and the shapes whose template recurs.
+def recurring(
+    docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7, long_words: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Lines (leaf, shape, body; shape and body hashed) and the shapes (shape, template, single) whose template recurs.
 
     A line goes down the tree by its number of tokens and its first depth tokens. In the leaf, a token at a place
     is fixed if lines in over the limit of documents have it there, and any other is generalised to <*>. Lines with
     the same fixed tokens are of one template; it recurs if at least the fixed share of its tokens is fixed
-    and over the limit of documents hold it. The limit is max(least, share * different texts). Leaves that no
+    and over the limit of documents hold it. The limit is max(least, share * different texts); with share 0 it is
+    a count of documents at any size of the table. With long_words, a line of so many words or more recurs, too, if two
+    documents hold its shape; it is single if nothing else makes it recur. Leaves that no
     recurring template can be in are left out first: a template has no more documents than its leaf. A leaf's
     fixed tokens are a short list (each takes over the limit of documents), so they meet a shape in one row.
     """
     bodies = docs.select(F.xxhash64("text").alias("body")).groupBy("body").count()
-    limit = F.lit(max(float(least), share * bodies.count()))
+    limit = F.lit(max(float(least), share * bodies.count() if share else 0.0))
+    long = _n_tokens() >= long_words if long_words else F.lit(False)
     seen = scratch.table(
-        _lines(docs).select("body", _leaf(depth).alias("leaf"), F.xxhash64("shape").alias("shape")).groupBy("leaf", "shape", "body").count().select("leaf", "shape", "body"), "lines"
+        _lines(docs).select("body", _leaf(depth).alias("leaf"), F.xxhash64("shape").alias("shape"), long.alias("long")).groupBy("leaf", "shape", "body", "long").count().select("leaf", "shape", "body", "long"), "lines"
     )
     leaves = seen.groupBy("leaf", "body").count().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit)
     leaves = scratch.broadcast_if_small(scratch.table(leaves.select(F.col("leaf").alias("wanted")), "leaves"))
@@ -74,22 +83,49 @@ def recurring(docs: DataFrame, least: int, share: float, depth: int = 2, fixed:
     generalised = scratch.table(generalised, "templates")
     held = seen.join(generalised, F.col("shape") == F.col("_of")).select("template", "body")
     often = held.groupBy("template", "body").count().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit)
-    return seen, generalised.join(often, "template", "left_semi").select(F.col("_of").alias("shape"))
+    found = generalised.join(often, "template", "left_semi").select(F.col("_of").alias("shape"), "template", F.lit(False).alias("single"))
+    if long_words:
+        twice = seen.filter("long").groupBy("shape").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+        found = found.unionByName(twice.select("shape", F.col("shape").alias("template"), F.lit(True).alias("single")))
+        found = found.groupBy("shape").agg(F.min_by("template", "single").alias("template"), F.min("single").alias("single"))
+    return seen.drop("long"), found
+
+
+def _keepers(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """For each template that may not go altogether, the document (_t, _b) with the least id that holds it.
+
+    ids: _id and _at (body) of the documents that are touched.
+    """
+    ids = ids.groupBy("_at").agg(F.min("_id").alias("_id"))
+    held = lines.filter("single").join(ids.hint("merge"), F.col("body") == F.col("_at"))
+    least = held.groupBy("template").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "body")).alias("_least"))
+    return least.select(F.col("template").alias("_t"), F.col("_least.body").alias("_b"))
 
 
-def drop_templates(docs: DataFrame, least: int = 20, share: float = 0.005, most_lost: float = 0.5, depth: int = 2, fixed: float = 0.7) -> DataFrame:
+def drop_templates(
+    docs: DataFrame, least: int = 20, share: float = 0.005, most_lost: float = 0.5, depth: int = 2, fixed: float = 0.7,
+    long_words: int | None = None, doc_id: str = "doc_id",
+) -> DataFrame:
     """Take the lines of recurring templates out of the texts of docs (text, ...); all rows and columns come back.
 
     Adds n_lines (lines with a word) and n_dropped. A document that would lose over most_lost of its words is left
     whole: it is a copy of others rather than a document with boilerplate, and whole documents are for the
     near-duplicate stage. Copies of a text count as one document. Null and wordless texts have no lines and stay.
+    With long_words, a line of so many words goes if only two documents hold it, but stays in that of the least doc_id.
     """
-    seen, found = recurring(docs, least, share, depth, fixed)
+    seen, found = recurring(docs, least, share, depth, fixed, long_words)
     found = scratch.table(found.withColumnRenamed("shape", "_recurs"), "recurring")
-    lines = seen.join(found, F.col("shape") == F.col("_recurs"), "left_semi")
+    lines = seen.join(found, F.col("shape") == F.col("_recurs"))
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    if long_words:
+        lines = scratch.table(lines.select("shape", "body", "template", "single"), "recurring-lines")
+        held = lines.filter("single").select(F.col("body").alias("_at")).distinct()
+        ids = own.select(F.col(doc_id).alias("_id"), "_own").join(held.hint("merge"), F.col("_own") == F.col("_at"))
+        keepers = _keepers(ids, lines)
+        lines = lines.join(keepers.hint("merge"), (F.col("template") == F.col("_t")) & (F.col("body") == F.col("_b")), "left_anti")
     touched = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_body"), "touched")
     # merged at any size: what shares lines grows with the documents
-    joined = docs.withColumn("_own", F.xxhash64("text")).join(touched.hint("merge"), F.col("_own") == F.col("_body"), "left")
+    joined = own.join(touched.hint("merge"), F.col("_own") == F.col("_body"), "left")
     rest = F.filter(
         F.split(F.col("text"), "\n"),
         lambda x: ~(x.rlike(text.WORD)) | ~F.array_contains(F.col("_shapes"), F.xxhash64(_shape(x))),
