@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of templates in over 20 texts, at any size; of 50 words or more, in over one."""
-    return _as_documents(templates.drop_templates(docs, least=20, share=0.0, long_words=50), docs)
+    return _as_documents(templates.drop_templates(docs, least=20, share=0.0, long_words=50, variable=True, keep_one=True), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def _leaf(depth: int) -> Column:
 
 
 def recurring(
-    docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7, long_words: int | None = None
+    docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7, long_words: int | None = None, variable: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Lines (leaf, shape, body; shape and body hashed) and the shapes (shape, template, single) whose template recurs.
 
@@ -46,7 +46,8 @@ def recurring(
     the same fixed tokens are of one template; it recurs if at least the fixed share of its tokens is fixed
     and over the limit of documents hold it. The limit is max(least, share * different texts); with share 0 it is
     a count of documents at any size of the table. With long_words, a line of so many words or more recurs, too, if two
-    documents hold its shape; it is single if nothing else makes it recur. Leaves that no
+    documents hold its shape; it is single if nothing else makes it recur. With variable, templates of many fields count, too: two fixed tokens or
+    more that are the fixed share of the tokens without digits, or eight that are half of all tokens. Leaves that no
     recurring template can be in are left out first: a template has no more documents than its leaf. A leaf's
     fixed tokens are a short list (each takes over the limit of documents), so they meet a shape in one row.
     """
@@ -78,8 +79,13 @@ def recurring(
     own = own.filter((F.col("token") != ANY) & (F.col("_all") - F.coalesce("_away", F.lit(0)) > limit)).select("leaf", "place", "token")
     known = known.unionByName(own).groupBy(F.col("leaf").alias("_leaf")).agg(F.collect_list(F.concat(F.col("place").cast("string"), F.lit(" "), "token")).alias("_fixed"))
     known = scratch.table(known, "fixed-tokens")
-    kept = shapes.join(known, F.col("leaf") == F.col("_leaf")).select("leaf", "shape", F.size("tokens").alias("n"), F.array_intersect(placed, F.col("_fixed")).alias("parts"))
-    generalised = kept.filter(F.size("parts") >= fixed * F.col("n")).select(F.col("shape").alias("_of"), F.xxhash64("leaf", "parts").alias("template"))
+    plain = F.size(F.filter("tokens", lambda x: x != ANY)).alias("plain")
+    kept = shapes.join(known, F.col("leaf") == F.col("_leaf")).select("leaf", "shape", F.size("tokens").alias("n"), plain, F.array_intersect(placed, F.col("_fixed")).alias("parts"))
+    parts = F.size("parts")
+    enough = parts >= fixed * F.col("n")
+    if variable:
+        enough = enough | ((parts >= 2) & (parts >= fixed * F.col("plain"))) | ((parts >= 8) & (parts >= 0.5 * F.col("n")))
+    generalised = kept.filter(enough).select(F.col("shape").alias("_of"), F.xxhash64("leaf", "parts").alias("template"))
     generalised = scratch.table(generalised, "templates")
     held = seen.join(generalised, F.col("shape") == F.col("_of")).select("template", "body")
     often = held.groupBy("template", "body").count().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit)
@@ -94,46 +100,52 @@ def recurring(
 def _keepers(ids: DataFrame, lines: DataFrame) -> DataFrame:
     """For each template that may not go altogether, the document (_t, _b) with the least id that holds it.
 
-    ids: _id and _at (body) of the documents that are touched.
+    ids: _id, _at (body) and _little (little of it would be left) of the documents that are touched. A single line
+    stays once, any other once if it is in a document of which little would be left.
     """
-    ids = ids.groupBy("_at").agg(F.min("_id").alias("_id"))
-    held = lines.filter("single").join(ids.hint("merge"), F.col("body") == F.col("_at"))
+    ids = ids.groupBy("_at").agg(F.min("_id").alias("_id"), F.first("_little").alias("_little"))
+    held = lines.join(ids.hint("merge"), F.col("body") == F.col("_at")).filter(F.col("single") | F.col("_little"))
     least = held.groupBy("template").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "body")).alias("_least"))
     return least.select(F.col("template").alias("_t"), F.col("_least.body").alias("_b"))
 
 
 def drop_templates(
     docs: DataFrame, least: int = 20, share: float = 0.005, most_lost: float = 0.5, depth: int = 2, fixed: float = 0.7,
-    long_words: int | None = None, doc_id: str = "doc_id",
+    long_words: int | None = None, variable: bool = False, keep_one: bool = False, doc_id: str = "doc_id",
 ) -> DataFrame:
     """Take the lines of recurring templates out of the texts of docs (text, ...); all rows and columns come back.
 
     Adds n_lines (lines with a word) and n_dropped. A document that would lose over most_lost of its words is left
     whole: it is a copy of others rather than a document with boilerplate, and whole documents are for the
     near-duplicate stage. Copies of a text count as one document. Null and wordless texts have no lines and stay.
-    With long_words, a line of so many words goes if only two documents hold it, but stays in that of the least doc_id.
+    With keep_one, no document is left whole: of the documents that would lose over most_lost, a template's lines stay in
+    that of the least doc_id only. A line of long_words (which needs keep_one) goes if only two documents hold it, but
+    stays in that of the least doc_id.
     """
-    seen, found = recurring(docs, least, share, depth, fixed, long_words)
+    assert keep_one or not long_words
+    seen, found = recurring(docs, least, share, depth, fixed, long_words, variable)
     found = scratch.table(found.withColumnRenamed("shape", "_recurs"), "recurring")
     lines = seen.join(found, F.col("shape") == F.col("_recurs"))
     own = docs.withColumn("_own", F.xxhash64("text"))
-    if long_words:
-        lines = scratch.table(lines.select("shape", "body", "template", "single"), "recurring-lines")
-        held = lines.filter("single").select(F.col("body").alias("_at")).distinct()
-        ids = own.select(F.col(doc_id).alias("_id"), "_own").join(held.hint("merge"), F.col("_own") == F.col("_at"))
-        keepers = _keepers(ids, lines)
-        lines = lines.join(keepers.hint("merge"), (F.col("template") == F.col("_t")) & (F.col("body") == F.col("_b")), "left_anti")
-    touched = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_body"), "touched")
-    # merged at any size: what shares lines grows with the documents
-    joined = own.join(touched.hint("merge"), F.col("_own") == F.col("_body"), "left")
     rest = F.filter(
         F.split(F.col("text"), "\n"),
         lambda x: ~(x.rlike(text.WORD)) | ~F.array_contains(F.col("_shapes"), F.xxhash64(_shape(x))),
     )
     words = text.n_words(F.col("text"))
+    if keep_one:
+        lines = scratch.table(lines.select("shape", "body", "template", "single"), "recurring-lines")
+        held = lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_at")
+        ids = own.select(F.col(doc_id).alias("_id"), "text", "_own").join(held.hint("merge"), F.col("_own") == F.col("_at"))
+        little = text.n_words(F.array_join(rest, "\n")) < (1 - most_lost) * words
+        keepers = _keepers(ids.select("_id", "_at", little.alias("_little")), lines)
+        lines = lines.join(keepers.hint("merge"), (F.col("template") == F.col("_t")) & (F.col("body") == F.col("_b")), "left_anti")
+    touched = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_body"), "touched")
+    # merged at any size: what shares lines grows with the documents
+    joined = own.join(touched.hint("merge"), F.col("_own") == F.col("_body"), "left")
     worded = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(text.WORD)))
     out = joined.withColumn("_rest", F.when(F.col("_shapes").isNotNull(), F.array_join(rest, "\n")))
-    out = out.withColumn("_fits", F.col("_rest").isNotNull() & (text.n_words(F.col("_rest")) >= (1 - most_lost) * words))
+    fits = F.lit(True) if keep_one else text.n_words(F.col("_rest")) >= (1 - most_lost) * words
+    out = out.withColumn("_fits", F.col("_rest").isNotNull() & fits)
     left = F.size(F.filter(F.split(F.col("_rest"), "\n"), lambda x: x.rlike(text.WORD)))
     return out.select(
         *[F.when(F.col("_fits"), F.col("_rest")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
