@@ -9,8 +9,8 @@ from sparkrecon.llm import mixing, packing, quality, scratch, shingles, template
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their frequent lines."""
-    judged = quality.rules(docs, remove=True)
+    """Documents that the rules keep, without the lines that over 20 texts of their host hold, at any size of the host."""
+    judged = quality.rules(docs, least=20, share=0.0, remove=True)
     return _as_documents(judged.filter("kept"), docs)
 
 

@@ -67,11 +67,13 @@ def hashed_lines(docs: DataFrame, host: str) -> DataFrame:
 def frequent_lines(docs: DataFrame, host: str, least: int, share: float) -> DataFrame:
     """Lines (_host, _line) in over max(least, share * documents of the host) different documents of a host.
 
-    Copies of a text on a host are one document. Counts are summed before and after the shuffle, so a line that
+    With share 0, the limit is a count that does not grow with the host. Copies of a text on a host are one document. Counts are summed before and after the shuffle, so a line that
     a third of all documents holds is a few rows.
     """
     seen = hashed_lines(docs, host).groupBy("_host", "_line", "_body").count()
     counts = seen.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > least)
+    if not share:
+        return counts.select("_host", "_line")
     texts = docs.groupBy(F.col(host).alias("_h"), F.xxhash64(F.col("text")).alias("_b")).count()
     hosts = texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_all"))
     return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("_docs") > share * F.col("_all")).select(
