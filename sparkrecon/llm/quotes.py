@@ -23,38 +23,43 @@ def _body(line: Column) -> Column:
 
 
 def _units(messages: DataFrame) -> DataFrame:
-    """What can be quoted or original: each line with a word, and each run of such lines of one level.
+    """What can be quoted or original: each line with a word, each run of lines of one level, and each paragraph of it.
+
+    A paragraph ends at a line without a word.
 
     Rows (conv_id, _pos, level, hash, words).
     """
     numbered = F.transform(F.col("_parts"), lambda x, i: F.struct(x["level"].alias("level"), x["line"].alias("line"), i.alias("i")))
-    first = F.filter(numbered, lambda x: F.coalesce(F.get(F.col("_parts"), x["i"] - 1)["level"] != x["level"], F.lit(True)))
-    starts = messages.withColumn("_starts", F.transform(first, lambda x: x["i"]))
-    runs = F.transform(
-        F.col("_starts"),
+    before = lambda x: F.get(F.col("_parts"), x["i"] - 1)
+    first = lambda x: F.coalesce(before(x)["level"] != x["level"], F.lit(True))
+    broken = lambda x: first(x) | (x["line"].rlike(text.WORD) != before(x)["line"].rlike(text.WORD))
+    starts = messages.withColumn("_starts", F.transform(F.filter(numbered, first), lambda x: x["i"]))
+    starts = starts.withColumn("_breaks", F.transform(F.filter(numbered, broken), lambda x: x["i"]))
+    passages = lambda at: F.transform(
+        F.col(at),
         lambda a, k: F.struct(
             F.get(F.col("_parts"), a)["level"].alias("level"),
             F.array_join(
-                F.transform(F.slice(F.col("_parts"), a + 1, F.coalesce(F.get(F.col("_starts"), k + 1), F.size("_parts")) - a), lambda y: y["line"]), "\n"
+                F.transform(F.slice(F.col("_parts"), a + 1, F.coalesce(F.get(F.col(at), k + 1), F.size("_parts")) - a), lambda y: y["line"]), "\n"
             ).alias("line"),
         ),
     )
-    units = starts.select("conv_id", "_pos", F.explode(F.array_union(F.col("_parts"), runs)).alias("unit"))
+    units = starts.select("conv_id", "_pos", F.explode(F.array_union(F.array_union(F.col("_parts"), passages("_starts")), passages("_breaks"))).alias("unit"))
     units = units.select("conv_id", "_pos", F.col("unit.level").alias("level"), text.normal_line(F.col("unit.line")).alias("passage")).filter("passage <> ''")
     return units.select("conv_id", "_pos", "level", F.xxhash64("passage").alias("hash"), text.n_words(F.col("passage")).alias("words"))
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """Messages in reply order, their quotations taken out and joined to what they quote.
+    """Messages in turn order, their quotations taken out and joined to what they quote.
 
     messages: conv_id, turn, role, text; other columns are kept. Lines that begin with quote marks (>, >> or > >)
-    are quoted, a mark a level. Each quoted line, and each quoted passage as a whole, is normalised, hashed and joined
+    are quoted, a mark a level. Each quoted line, paragraph and passage as a whole is normalised, hashed and joined
     to the first message of the conversation that has it unquoted, if that is an earlier one. A message replies to
     the message from which most words of its first-level quotations come (the later one of two), and without
     such to the message before it.
 
     Adds position (from 1, by turn, then role and text), reply_to (a position; null for the first), n_quotes (quoted
-    lines and passages), n_linked (those found); text is left without quotations and the lines that announce them.
+    lines, paragraphs and passages), n_linked (those found); text is left without quotations and the lines that announce them.
     reply_to is always lower than position. A null conv_id is a conversation; null turns come last; a null text stays
     null and quotes nothing; repeated rows are messages of their own.
     """
