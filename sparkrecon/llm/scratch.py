@@ -8,19 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: This process's tables are in one folder below the shared one.
+RUN = f"run-{uuid.uuid4().hex}"
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. On a local master (tests) a temporary one is set where it is unset."""
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A table that has been written, marked for broadcast if it has at most so many rows; else a join shuffles it."""
+    """A table of a few numbers a row that has been written, marked for broadcast if it has at most so many rows; else a join shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -31,6 +37,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     result is a join over a scan, which adaptive execution can broadcast (by measured size) or split (by skew).
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has written with table(). Results that still read it must have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
