@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import scratch, text
+from sparkrecon.llm import carry, filters, scratch, text
 
 SYMBOL = r"[#*$%&|<>]"
 
@@ -64,61 +64,63 @@ def hashed_lines(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, host: str, least: int, share: float) -> DataFrame:
-    """Lines (_host, _line) in over max(least, share * documents of the host) different documents of a host.
+def frequent_lines(docs: DataFrame, host: str, least: int) -> DataFrame:
+    """Lines (_host, _line) in over least different documents of a host, a count that does not grow with the host.
 
-    With share 0, the limit is a count that does not grow with the host. Copies of a text on a host are one document. Counts are summed before and after the shuffle, so a line that
+    Copies of a text on a host are one document. Counts are summed before and after the shuffle, so a line that
     a third of all documents holds is a few rows.
     """
     seen = hashed_lines(docs, host).groupBy("_host", "_line", "_body").count()
-    counts = seen.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > least)
-    if not share:
-        return counts.select("_host", "_line")
-    texts = docs.groupBy(F.col(host).alias("_h"), F.xxhash64(F.col("text")).alias("_b")).count()
-    hosts = texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("_docs") > share * F.col("_all")).select(
-        "_host", "_line"
-    )
+    counts = seen.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+    return counts.filter(F.col("_docs") > least).select("_host", "_line")
+
+
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words", "base_failed", "kept"]
 
 
 def rules(
     docs: DataFrame,
     host: str = "source",
     least: int = 20,
-    share: float = 0.01,
     min_words: int = 10,
     max_repeat_percent: int = 20,
     remove: bool = False,
 ) -> DataFrame:
-    """Judge each row of docs (doc_id, text, host, ...); all rows and columns come back.
+    """Judge each row of docs (text, host, ...); all rows and columns come back.
 
-    Adds the base counts, n_frequent_words (words in lines above the limits), base_failed (under min_words words,
-    or over max_repeat_percent % of them in repeated five-word windows) and kept: not base_failed and not depleted.
-    A document is depleted if removing its frequent lines leaves under min_words words. With remove, the text
-    of each document is what is left of it.
+    Adds the base counts, n_frequent_words (words in lines that over least texts of the host hold), base_failed (under
+    min_words words, or over max_repeat_percent % of them in repeated five-word windows) and kept: not base_failed and
+    not depleted. A document is depleted if removing its frequent lines leaves under min_words words. With remove, the
+    text of each document is what is left of it.
 
     Null or empty text has no words: it fails. A null host is a host of its own. Rows may repeat, with or without
-    an id: a verdict belongs to a host and text.
+    an id: a verdict belongs to a host and text. An added column takes the place of an input column of its name; other
+    columns are carried whatever their names. Only rows that may hold a frequent line are shuffled (filters.flagged).
+    Texts and lines are compared by 64-bit hash: among 10^10 different lines, about three pairs are taken for one line.
     """
-    frequent = scratch.table(frequent_lines(docs, host, least, share), "frequent-lines")
-    held = docs.select(
+    needed = ["text", host]
+    slim = carry.packed(docs, needed)
+    frequent = scratch.table(frequent_lines(slim, host, least), "frequent-lines")
+    held = slim.select(
         F.col(host).alias("_of"),
         F.xxhash64(F.col("text")).alias("_body"),
         F.posexplode(_word_lines(F.col("text"))).alias("_at", "_text"),
     ).select("_of", "_body", "_at", F.xxhash64(text.normal_line(F.col("_text"))).alias("_key"), text.n_words(F.col("_text")).alias("_n"))
     held = held.join(frequent, F.col("_of").eqNullSafe(F.col("_host")) & (F.col("_key") == F.col("_line")), "left_semi")
     held = held.groupBy("_of", "_body", "_at").agg(F.first("_key").alias("_key"), F.first("_n").alias("_n"))
-    lost = scratch.table(
-        held.groupBy("_of", "_body").agg(F.sum("_n").alias("_lost"), F.collect_set("_key").alias("_keys")), "lost-lines"
-    )
-    lost = lost.withColumnRenamed("_body", "_lost_body")
-    if not remove:
-        lost = lost.drop("_keys")
-    judged = (
-        base_counts(docs.withColumn("_own_body", F.xxhash64(F.col("text"))))
-        .join(lost, F.col(host).eqNullSafe(F.col("_of")) & (F.col("_own_body") == F.col("_lost_body")), "left")
-        .withColumn("n_frequent_words", F.coalesce(F.col("_lost"), F.lit(0)).cast("long"))
+    lost = held.groupBy("_of", "_body").agg(F.sum("_n").alias("_lost"), F.collect_set("_key").alias("_keys"))
+    lost = lost.withColumn("_pair", F.xxhash64("_of", "_body")).withColumnRenamed("_body", "_lost_body")
+    lost = scratch.table(lost, "lost-lines")
+    rows = slim.withColumn("_own_body", F.xxhash64(F.col("text")))
+    rows = filters.flagged(rows, F.xxhash64(host, "_own_body"), lost.select("_pair"), "_maybe")
+    found = ["_lost", "_keys"] if remove else ["_lost"]
+    touched = (
+        base_counts(rows.filter("_maybe"))
+        .join(lost.select("_of", "_lost_body", *found), F.col(host).eqNullSafe(F.col("_of")) & (F.col("_own_body") == F.col("_lost_body")), "left")
+        .drop("_of", "_lost_body")
     )
+    judged = touched.unionByName(base_counts(rows.filter("not _maybe")), allowMissingColumns=True)
+    judged = judged.withColumn("n_frequent_words", F.coalesce(F.col("_lost"), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (F.col("n_frequent_words") > 0) & (F.col("n_words") - F.col("n_frequent_words") < min_words)
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
@@ -128,4 +130,4 @@ def rules(
             lambda x: ~x.rlike(text.WORD) | ~F.array_contains(F.col("_keys"), F.xxhash64(text.normal_line(x))),
         )
         judged = judged.withColumn("text", F.when(F.col("_keys").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    return judged.drop("_own_body", "_of", "_lost_body", "_lost", "_keys")
+    return carry.unpacked(judged, docs, needed, ADDED)

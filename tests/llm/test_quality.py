@@ -12,11 +12,10 @@ def normal(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", line.lower())).strip(" ")
 
 
-def brute(rows, least, share, min_words=10):
+def brute(rows, least, min_words=10):
     """rows: (id, source, text)."""
-    seen, hosts, out = defaultdict(set), defaultdict(set), []
+    seen, out = defaultdict(set), []
     for _, source, text in rows:
-        hosts[source].add(text)
         for line in (text or "").split("\n"):
             if WORD.search(line):
                 seen[source, normal(line)].add(text)
@@ -28,7 +27,7 @@ def brute(rows, least, share, min_words=10):
         for k in range(len(words) - 4):
             spans[tuple(words[k : k + 5])].append(k)
         covered = {p + j for ps in spans.values() if len(ps) > 1 for p in ps for j in range(5)}
-        lost = sum(len(WORD.findall(x)) for x in lines if len(s := seen[source, normal(x)]) > least and len(s) > share * len(hosts[source]))
+        lost = sum(len(WORD.findall(x)) for x in lines if len(seen[source, normal(x)]) > least)
         failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
         out.append((i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), lost, failed, not failed and not (lost and len(words) - lost < min_words)))
     return sorted(out, key=repr)
@@ -37,17 +36,19 @@ def brute(rows, least, share, min_words=10):
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words", "base_failed", "kept"]
 
 
-def check(spark, rows, least, share):
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1))
-    got = quality.rules(docs, least=least, share=share)
-    assert set(docs.columns) <= set(got.columns)
+def check(spark, rows, least):
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_keys", F.lit("x"))
+    docs = docs.withColumn("n_words", F.lit("clash")).withColumn("_own_body", F.lit(3)).withColumn("KEPT", F.lit(3))
+    got = quality.rules(docs, least=least)
+    assert got.columns == ["doc_id", "source", "text", "_n", "_keys", "_own_body", *COLUMNS]
+    assert not rows or tuple(got.select("_n", "_keys", "_own_body").distinct().first()) == (1, "x", 3)
     got = sorted(map(tuple, got.select("doc_id", *COLUMNS).collect()), key=repr)
-    assert got == brute(rows, least, share)
+    assert got == brute(rows, least)
 
 
 def test_rules_on_documents(spark, sf):
     rows = list(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()))
-    check(spark, rows, 2, 0.01)
+    check(spark, rows, 2)
 
 
 def test_odd_rows(spark):
@@ -55,14 +56,14 @@ def test_odd_rows(spark):
     rows = [(i, "a", f"{line}\n{'x' * i}") for i in range(6)]
     rows += [(9, "a", "ONE two three four five six seven  eight nine ten eleven \n\n"), (9, None, line), (None, None, None)]
     rows += [(None, None, None), (20, "a", ""), (21, "b", " \n\t"), (22, "b", "w " * 30000), (23, "b", "# é 中 $% 3"), (None, "a", line)]
-    check(spark, rows, 2, 0.1)
-    check(spark, [], 2, 0.1)
+    check(spark, rows, 2)
+    check(spark, [], 2)
 
 
 def test_removal_takes_frequent_lines_out(spark):
     rows = [(i, "a", f"the same line\nown line {chr(97 + i) * 3}\n\n") for i in range(5)] + [(9, "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r.doc_id: r.text for r in quality.rules(docs, least=2, share=0.0, remove=True).collect()}
+    got = {r.doc_id: r.text for r in quality.rules(docs, least=2, remove=True).collect()}
     assert got == {i: f"own line {chr(97 + i) * 3}\n\n" for i in range(5)} | {9: None}
 
 
