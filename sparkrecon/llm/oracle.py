@@ -10,9 +10,8 @@ rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g)
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY doc_id),
 ln AS (SELECT *, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '{_SPACE}', ' ', 'g'), ' ') AS k
   FROM (SELECT doc_id, source, text, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}')),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-freq AS (SELECT ln.source, k FROM ln JOIN hosts USING (source) GROUP BY ln.source, k, hosts.n HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.01 * hosts.n),
-lost AS (SELECT doc_id, sum(len(regexp_extract_all(x, '{_WORD}'))) AS n FROM ln JOIN freq ON ln.source = freq.source AND ln.k = freq.k GROUP BY doc_id),
+freq AS (SELECT source, k FROM ln GROUP BY source, k HAVING count(DISTINCT text) > 20),
+lost AS (SELECT doc_id, sum(len(regexp_extract_all(x, '{_WORD}'))) AS n FROM ln JOIN freq ON ln.source IS NOT DISTINCT FROM freq.source AND ln.k = freq.k GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM ln GROUP BY doc_id),
 c AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_frequent_words
@@ -26,19 +25,18 @@ WITH lines AS (SELECT doc_id, text, line, place, regexp_extract_all(line, '{_WOR
   FROM (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents)),
 shaped AS (SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS s FROM lines),
 seen AS (SELECT DISTINCT s, len(s) AS n, s[1] AS a, s[2] AS b, text FROM shaped WHERE len(s) > 0),
-lim AS (SELECT greatest(20.0, 0.005 * count(DISTINCT text)) AS most FROM documents),
-leaves AS (SELECT n, a, b FROM seen GROUP BY n, a, b HAVING count(DISTINCT text) > (SELECT most FROM lim)),
+leaves AS (SELECT n, a, b FROM seen GROUP BY n, a, b HAVING count(DISTINCT text) > 20),
 shapes AS (SELECT s, n, a, b, count(*) AS docs FROM seen SEMI JOIN leaves ON seen.n = leaves.n AND seen.a = leaves.a AND seen.b IS NOT DISTINCT FROM leaves.b GROUP BY s, n, a, b),
 places AS (SELECT s, n, a, b, docs, unnest(s) AS token, generate_subscripts(s, 1) AS place FROM shapes),
-fixed AS (SELECT n, a, b, place, token FROM places WHERE token <> '<*>' GROUP BY n, a, b, place, token HAVING sum(docs) > (SELECT most FROM lim)),
+fixed AS (SELECT n, a, b, place, token FROM places WHERE token <> '<*>' GROUP BY n, a, b, place, token HAVING sum(docs) > 20),
 parts AS (SELECT p.s, p.n, p.a, p.b, string_agg(p.place || ' ' || p.token, ' ' ORDER BY p.place) AS k FROM places p JOIN fixed f ON p.n = f.n AND p.a = f.a AND p.b IS NOT DISTINCT FROM f.b AND p.place = f.place AND p.token = f.token
   GROUP BY p.s, p.n, p.a, p.b HAVING count(*) >= 0.7 * p.n),
-often AS (SELECT parts.n, parts.a, parts.b, k FROM parts JOIN seen ON parts.s = seen.s GROUP BY parts.n, parts.a, parts.b, k HAVING count(DISTINCT text) > (SELECT most FROM lim)),
+often AS (SELECT parts.n, parts.a, parts.b, k FROM parts JOIN seen ON parts.s = seen.s GROUP BY parts.n, parts.a, parts.b, k HAVING count(DISTINCT text) > 20),
 drops AS (SELECT s FROM parts SEMI JOIN often ON parts.n = often.n AND parts.a = often.a AND parts.b IS NOT DISTINCT FROM often.b AND parts.k = often.k),
 marked AS (SELECT shaped.*, drops.s IS NOT NULL AS dropped FROM shaped LEFT JOIN drops ON shaped.s = drops.s),
-docs AS (SELECT doc_id, any_value(text) AS text, count(*) FILTER (len(w) > 0) AS n_lines, count(*) FILTER (dropped) AS n, sum(len(w)) AS words, coalesce(sum(len(w)) FILTER (NOT dropped), 0) AS rest_words,
+docs AS (SELECT doc_id, any_value(text) AS text, count(*) FILTER (len(w) > 0) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '') AS rest FROM marked GROUP BY doc_id)
-SELECT doc_id, n_lines, CASE WHEN n > 0 AND rest_words >= 0.5 * words THEN n ELSE 0 END AS n_dropped, md5(CASE WHEN n > 0 AND rest_words >= 0.5 * words THEN rest ELSE text END) AS text_md5 FROM docs
+SELECT doc_id, n_lines, n_dropped, md5(CASE WHEN n_dropped > 0 THEN rest ELSE text END) AS text_md5 FROM docs
 """
 
 EMBEDDINGS = """

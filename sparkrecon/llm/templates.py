@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import scratch, text
+from sparkrecon.llm import carry, filters, scratch, text
 
 ANY = "<*>"
 #: A word with a digit. It begins at a word's beginning and never backtracks, so long words cost their length.
@@ -37,22 +37,21 @@ def _leaf(depth: int) -> Column:
 
 
 def recurring(
-    docs: DataFrame, least: int, share: float, depth: int = 2, fixed: float = 0.7, long_words: int | None = None, variable: bool = False
+    docs: DataFrame, least: int, depth: int = 2, fixed: float = 0.7, long_words: int | None = None, variable: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Lines (leaf, shape, body; shape and body hashed) and the shapes (shape, template, single) whose template recurs.
 
     A line goes down the tree by its number of tokens and its first depth tokens. In the leaf, a token at a place
     is fixed if lines in over the limit of documents have it there, and any other is generalised to <*>. Lines with
     the same fixed tokens are of one template; it recurs if at least the fixed share of its tokens is fixed
-    and over the limit of documents hold it. The limit is max(least, share * different texts); with share 0 it is
-    a count of documents at any size of the table. With long_words, a line of so many words or more recurs, too, if two
+    and over the limit of documents hold it. The limit is a count of documents, the same at any size of the table.
+    With long_words, a line of so many words or more recurs, too, if two
     documents hold its shape; it is single if nothing else makes it recur. With variable, templates of many fields count, too: two fixed tokens or
     more that are the fixed share of the tokens without digits, or eight that are half of all tokens. Leaves that no
     recurring template can be in are left out first: a template has no more documents than its leaf. A leaf's
     fixed tokens are a short list (each takes over the limit of documents), so they meet a shape in one row.
     """
-    bodies = docs.select(F.xxhash64("text").alias("body")).groupBy("body").count()
-    limit = F.lit(max(float(least), share * bodies.count() if share else 0.0))
+    limit = F.lit(least)
     long = _n_tokens() >= long_words if long_words else F.lit(False)
     seen = scratch.table(
         _lines(docs).select("body", _leaf(depth).alias("leaf"), F.xxhash64("shape").alias("shape"), long.alias("long")).groupBy("leaf", "shape", "body", "long").count().select("leaf", "shape", "body", "long"), "lines"
@@ -110,45 +109,43 @@ def _keepers(ids: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def drop_templates(
-    docs: DataFrame, least: int = 20, share: float = 0.005, most_lost: float = 0.5, depth: int = 2, fixed: float = 0.7,
-    long_words: int | None = None, variable: bool = False, keep_one: bool = False, doc_id: str = "doc_id",
+    docs: DataFrame, least: int = 20, depth: int = 2, fixed: float = 0.7, long_words: int | None = None, variable: bool = False,
+    hollow: float | None = None, doc_id: str = "doc_id",
 ) -> DataFrame:
     """Take the lines of recurring templates out of the texts of docs (text, ...); all rows and columns come back.
 
-    Adds n_lines (lines with a word) and n_dropped. A document that would lose over most_lost of its words is left
-    whole: it is a copy of others rather than a document with boilerplate, and whole documents are for the
-    near-duplicate stage. Copies of a text count as one document. Null and wordless texts have no lines and stay.
-    With keep_one, no document is left whole: of the documents that would lose over most_lost, a template's lines stay in
-    that of the least doc_id only. A line of long_words (which needs keep_one) goes if only two documents hold it, but
-    stays in that of the least doc_id.
+    Adds n_lines (lines with a word) and n_dropped. Copies of a text count as one document. Null and wordless texts have
+    no lines and stay; a text that is all templates becomes empty. With hollow, of the documents that would lose over
+    that share of their words, a template's lines stay in that of the least doc_id. A line of long_words (which needs
+    hollow) goes if only two documents hold it, but stays in that of the least doc_id. An added column takes
+    the place of an input column of its name; other columns are carried whatever their names. Only rows that may hold
+    a recurring line are shuffled (filters.flagged). Texts, shapes and leaves are compared by 64-bit hash: among 10^10
+    different ones, about three pairs are taken for one.
     """
-    assert keep_one or not long_words
-    seen, found = recurring(docs, least, share, depth, fixed, long_words, variable)
+    assert hollow is not None or not long_words
+    needed = ["text"] if hollow is None else ["text", doc_id]
+    slim = carry.packed(docs, needed)
+    seen, found = recurring(slim, least, depth, fixed, long_words, variable)
     found = scratch.table(found.withColumnRenamed("shape", "_recurs"), "recurring")
-    lines = seen.join(found, F.col("shape") == F.col("_recurs"))
-    own = docs.withColumn("_own", F.xxhash64("text"))
+    lines = scratch.table(seen.join(found, F.col("shape") == F.col("_recurs")).select("shape", "body", "template", "single"), "recurring-lines")
+    held = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_at"), "held")
+    own = filters.flagged(slim.withColumn("_own", F.xxhash64("text")), F.col("_own"), held.select("_at"), "_maybe")
     rest = F.filter(
         F.split(F.col("text"), "\n"),
         lambda x: ~(x.rlike(text.WORD)) | ~F.array_contains(F.col("_shapes"), F.xxhash64(_shape(x))),
     )
-    words = text.n_words(F.col("text"))
-    if keep_one:
-        lines = scratch.table(lines.select("shape", "body", "template", "single"), "recurring-lines")
-        held = lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_at")
-        ids = own.select(F.col(doc_id).alias("_id"), "text", "_own").join(held.hint("merge"), F.col("_own") == F.col("_at"))
-        little = text.n_words(F.array_join(rest, "\n")) < (1 - most_lost) * words
+    if hollow is not None:
+        ids = own.filter("_maybe").select(F.col(doc_id).alias("_id"), "text", "_own").join(held.hint("merge"), F.col("_own") == F.col("_at"))
+        little = text.n_words(F.array_join(rest, "\n")) < (1 - hollow) * text.n_words(F.col("text"))
         keepers = _keepers(ids.select("_id", "_at", little.alias("_little")), lines)
         lines = lines.join(keepers.hint("merge"), (F.col("template") == F.col("_t")) & (F.col("body") == F.col("_b")), "left_anti")
-    touched = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_body"), "touched")
+        held = scratch.table(lines.groupBy("body").agg(F.collect_set("shape").alias("_shapes")).withColumnRenamed("body", "_at"), "touched")
     # merged at any size: what shares lines grows with the documents
-    joined = own.join(touched.hint("merge"), F.col("_own") == F.col("_body"), "left")
+    touched = own.filter("_maybe").join(held.hint("merge"), F.col("_own") == F.col("_at"), "left").drop("_at")
+    joined = touched.unionByName(own.filter("not _maybe"), allowMissingColumns=True)
     worded = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(text.WORD)))
     out = joined.withColumn("_rest", F.when(F.col("_shapes").isNotNull(), F.array_join(rest, "\n")))
-    fits = F.lit(True) if keep_one else text.n_words(F.col("_rest")) >= (1 - most_lost) * words
-    out = out.withColumn("_fits", F.col("_rest").isNotNull() & fits)
     left = F.size(F.filter(F.split(F.col("_rest"), "\n"), lambda x: x.rlike(text.WORD)))
-    return out.select(
-        *[F.when(F.col("_fits"), F.col("_rest")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        worded.cast("long").alias("n_lines"),
-        F.when(F.col("_fits"), worded - left).otherwise(0).cast("long").alias("n_dropped"),
-    )
+    out = out.withColumn("_n_lines", worded.cast("long")).withColumn("_n_dropped", F.when(F.col("_rest").isNotNull(), worded - left).otherwise(0).cast("long"))
+    out = out.withColumn("text", F.coalesce("_rest", "text")).withColumnRenamed("_n_lines", "n_lines").withColumnRenamed("_n_dropped", "n_dropped")
+    return carry.unpacked(out, docs, needed, ["n_lines", "n_dropped"])
