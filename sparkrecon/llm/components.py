@@ -13,12 +13,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round maps every node to the least of itself and its neighbours and keeps the edges between different
     images, so a star vanishes in one round and other shapes shrink fast. What a round maps is written to the shared
-    folder; at the end the rounds are composed, last to first. Loops and repeated edges do no harm, null
+    folder; at the end the rounds are composed, last to first. edges should be a written table: it is read twice. Loops and repeated edges do no harm, null
     ends are left out.
     """
     kept = edges.select("a", "b").filter("a is not null and b is not null")
-    left = scratch.table(kept.filter("a <> b").distinct(), "edges")
-    nodes = scratch.table(kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct(), "nodes")
+    left = kept.filter("a <> b")
+    nodes = kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct()
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
@@ -34,9 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
             roots = image
             continue
         later = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        roots = scratch.table(
-            image.join(later, image["root"] == later["_node"], "left").select("node", F.coalesce("_root", "root").alias("root")), "roots"
-        )
+        roots = image.join(later, image["root"] == later["_node"], "left").select("node", F.coalesce("_root", "root").alias("root"))
     if roots is None:
         return nodes.select("node", F.col("node").alias("root"))
     found = roots.select(F.col("node").alias("_node"), "root")

@@ -3,30 +3,39 @@
 A document's set holds the 64-bit hashes of its k-word shingles. Equal sets are one member. Two sets whose Jaccard
 similarity reaches p/q share, under every order of all shingles, one of their first s - ceil(s p/q) + 1 shingles
 (s: the size of the set). Three orders are used; each puts shingles of rare buckets first, and they differ in
-how they order shingles of equally rare buckets. The first order's prefixes bring sets together; the other two
-prefixes, the sizes and a parity bitmap of the whole set (a lower bound of the symmetric difference) must agree
-too. What passes is joined into clusters, and each cluster is verified exactly, tile by tile.
+how they order shingles of equally rare buckets. The first order's prefixes bring sets together: of their tokens,
+only those that two sets share are kept, with the sets' ids alone. What must agree besides is kept once a set: the size
+and a parity bitmap of the whole set (a lower bound of the symmetric difference), and of the sets that these leave, the
+other two prefixes.
+
+The sets that share a token are then compared in rounds. In a round, each token whose sets are not linked yet names a
+few hubs, none from its largest linked part; they are compared with its other sets outside their own part: filters
+first, then the whole sets. What is found is linked at once, and a hub has then met all sets of its token. So a group
+of near copies costs about a comparison a member, and no pair between different parts is left out.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import scratch
+from sparkrecon.llm import carry, filters, scratch
 from sparkrecon.llm.components import components
-from sparkrecon.llm.embeddings import _forest
 
 #: Buckets of the frequency sketch; its broadcast form has a byte for each.
 BUCKET_BITS = 22
 SLICES = 64
-#: Bits of the filter that tells which sets are in a cluster; 2 MB whatever the input.
-MEMBER_BITS = 24
+#: A token whose bucket has so many sets (as a level, four to an octave: 2^20) is dealt by set, not by token.
+HOT_LEVEL = 80
+#: Groups of which all sets are hubs at once, in the first round and later; larger ones get 64 times more hubs each round.
+SMALL_GROUP, MORE_HUBS = (4, 32), 64
+#: Shingles in the sets that meet a hub in one task, and sets of one task.
+TILE_SHINGLES, TILE_SETS = 1 << 21, 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -64,7 +73,8 @@ class Hasher:
         total = np.full(len(w) - n + 1, _U(n), dtype=np.uint64)
         for i in range(n):
             total += w[i : len(w) - n + 1 + i] * self.odd[i]
-        return np.unique(_mix(total, 0))
+        found = np.sort(_mix(total, 0))
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def fingerprint(s: np.ndarray) -> bytes | None:
@@ -79,18 +89,32 @@ def _buckets(s: np.ndarray) -> np.ndarray:
 
 def _scan(k: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each document its set's size and fingerprint; at the end the partition's bucket counts, in slices."""
+        """For each document its set's size, fingerprint and parity bitmap; at the end the partition's bucket counts, in slices."""
         hasher, counts = Hasher(k), np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
+        waiting, held = [], 0
+
+        def add() -> None:
+            if waiting:
+                counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                waiting.clear()
+
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, parity = [], [], []
             for text in batch["text"]:
                 s = hasher.shingles(text)
-                np.add.at(counts, _buckets(s), 1)
+                waiting.append(_buckets(s))
+                held += len(s)
+                if held > 1 << 21:
+                    add()
+                    held = 0
                 sizes.append(len(s))
                 prints.append(fingerprint(s))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": sizes, "fp": prints, "slice": -1, "counts": None})
+                parity.append(_parity(s).tobytes() if len(s) else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "body": batch["body"].astype("Int64"), "n": sizes, "fp": prints, "parity": parity, "id": pd.array([x and set_id(x) for x in prints], dtype="Int64"), "slice": -1, "counts": None})
+        add()
         parts = [(i, x) for i, x in enumerate(np.split(counts, SLICES)) if x.any()]
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(parts), dtype="Int64"), "n": 0, "fp": None, "slice": [i for i, _ in parts], "counts": [zlib.compress(x.tobytes(), 1) for _, x in parts]})
+        none = pd.array([None] * len(parts), dtype="Int64")
+        yield pd.DataFrame({"doc_id": none, "body": none, "n": 0, "fp": None, "parity": None, "id": none, "slice": [i for i, _ in parts], "counts": [zlib.compress(x.tobytes(), 1) for _, x in parts]})
 
     return scan
 
@@ -116,12 +140,12 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _prefixes(s: np.ndarray, level: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(s: np.ndarray, level: np.ndarray, p: int, q: int, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The first order's prefix, and a 128-bit filter of each other order's prefix."""
     length = len(s) - _needed(len(s), p, q) + 1
     rare = level[_buckets(s)].astype(np.uint64) << _U(56)
     first, rest = None, np.zeros(4, dtype=np.uint64)
-    for order in range(3):
+    for order in range(3 if every else 1):
         key = rare | (_mix(s, 11 + order) >> _U(8))
         chosen = s[key <= np.partition(key, length - 1)[length - 1]]
         if order == 0:
@@ -133,12 +157,20 @@ def _prefixes(s: np.ndarray, level: np.ndarray, p: int, q: int) -> tuple[np.ndar
     return first, rest
 
 
+def set_id(fp: bytes) -> int:
+    """The id of a set among those that share a token; ids that two sets have in common are told apart by fp later."""
+    return int.from_bytes(fp[:8], "little", signed=True)
+
+
 def _emit(k: int, p: int, q: int, levels, ranges: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The prefixes of each different set, dealt by ranges of the shingle's hash, many sets to a row."""
+        """The first prefixes of each different set, dealt by ranges of the token's hash, many tokens to a row.
+
+        Hot tokens are dealt by the set's id instead, to ranges of their own.
+        """
         hasher, level, seen = Hasher(k), np.frombuffer(levels.value, dtype=np.uint8), set()
         for batch in batches:
-            tokens, owner, sets = [], [], []
+            tokens, owner, ids = [], [], []
             for text in batch["text"]:
                 s = hasher.shingles(text)
                 fp = fingerprint(s)
@@ -146,257 +178,216 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
-                first, rest = _prefixes(s, level, p, q)
+                first, _ = _prefixes(s, level, p, q, False)
                 tokens.append(first)
-                owner.append(np.full(len(first), len(sets), dtype=np.int32))
-                sets.append((fp, len(s), rest, _parity(s)))
-            if not sets:
+                owner.append(np.full(len(first), len(ids), dtype=np.int32))
+                ids.append(set_id(fp))
+            if not ids:
                 continue
-            tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-            to = ((tokens >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+            tokens, owner, ids = np.concatenate(tokens), np.concatenate(owner), np.array(ids, dtype=np.int64)
+            spread = lambda x: ((x >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+            to = spread(tokens)
+            hot = level[_buckets(tokens)] >= HOT_LEVEL
+            to[hot] = ranges + spread(_mix(ids[owner[hot]].view(np.uint64), 31))
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
             out = []
-            for r in np.unique(to):
-                here = to == r
+            for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                here = order[low:high]
                 used, index = np.unique(owner[here], return_inverse=True)
-                out.append((
-                    int(r), tokens[here].tobytes(), index.astype(np.int32).tobytes(), b"".join(sets[i][0] for i in used),
-                    np.array([sets[i][1] for i in used], dtype=np.int64).tobytes(), b"".join(sets[i][2].tobytes() for i in used), b"".join(sets[i][3].tobytes() for i in used),
-                ))
-            yield pd.DataFrame(out, columns=["r", "tokens", "owner", "fps", "sizes", "rest", "parity"])
+                out.append((int(to[here[0]]), tokens[here].tobytes(), index.astype(np.int32).tobytes(), ids[used].tobytes()))
+            yield pd.DataFrame(out, columns=["r", "tokens", "owner", "ids"])
 
     return emit
 
 
-class _Filters:
-    """Sizes, prefix filters and parity bitmaps of the sets that met in a range."""
-
-    def __init__(self, sizes, rest, parity, p, q):
-        self.sizes, self.rest, self.p, self.q = sizes, rest, p, q
-        self.bits = np.array([max(6, int(n).bit_length() + 1) for n in sizes])
-        self.at = np.concatenate([[0], np.cumsum(1 << (self.bits - 6))])
-        self.parity = parity
-
-    def rows(self, members: np.ndarray, bits: int) -> np.ndarray:
-        """Parity bitmaps folded to 2 ** bits bits; members have that many or twice as many."""
-        wide = self.bits[members] > bits
-        words = 1 << (bits - 6)
-        start = self.at[members]
-        out = self.parity[(start[:, None] + np.arange(words)[None, :])] if not wide.any() else np.empty((len(members), words), dtype=np.uint64)
-        if wide.any():
-            out[~wide] = self.parity[start[~wide][:, None] + np.arange(words)[None, :]]
-            both = self.parity[start[wide][:, None] + np.arange(2 * words)[None, :]]
-            out[wide] = self._fold(both, bits)
-        return out
-
-    @staticmethod
-    def _fold(both: np.ndarray, bits: int) -> np.ndarray:
-        """A bit of the narrow map is the parity of two neighbours of the wide one (positions are leading hash bits)."""
-        flat = np.unpackbits(both.view(np.uint8), axis=1, bitorder="little")
-        return np.packbits(flat[:, 0::2] ^ flat[:, 1::2], axis=1, bitorder="little").view(np.uint64).reshape(len(both), 1 << (bits - 6))
-
-    def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs pass every filter."""
-        p, q = self.p, self.q
-        a, b = self.sizes[i], self.sizes[j]
-        ok = (q * np.minimum(a, b) >= p * np.maximum(a, b)) & (self.rest[i, :2] & self.rest[j, :2]).any(axis=1) & (self.rest[i, 2:] & self.rest[j, 2:]).any(axis=1)
-        at = np.flatnonzero(ok)
-        low = np.minimum(self.bits[i[at]], self.bits[j[at]])
-        for bits in np.unique(low):
-            here = at[low == bits]
-            step = max(1, (1 << 22) >> max(0, bits - 6))
-            for k in range(0, len(here), step):
-                x = here[k : k + step]
-                apart = np.bitwise_count(self.rows(i[x], bits) ^ self.rows(j[x], bits)).sum(axis=1)
-                both = a[x] + b[x]
-                most = both - 2 * ((p * both + p + q - 1) // (p + q))
-                ok[x] = apart <= most
-        return ok
-
-
-class _Union:
-    """Components of what has been linked so far, and the links that made them."""
-
-    def __init__(self, n: int):
-        self.root, self.links = np.arange(n), []
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        if not len(i):
-            return
-        nodes, at = np.unique(np.concatenate([self.root[i], self.root[j]]), return_inverse=True)
-        for x, y in _forest(at[: len(i)], at[len(i) :], len(nodes)):
-            self.links.append((nodes[x], nodes[y]))
-            self.root[nodes[x]] = nodes[y]
-        while not np.array_equal(self.root, up := self.root[self.root]):
-            self.root = up
-
-
-def _met(p: int, q: int, dense: int = 48):
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the pairs of sets that share a first-order prefix shingle and pass the filters."""
-        tokens, owner, fps, sizes, rest, parity, base = [], [], [], [], [], [], 0
-        for row in group.itertuples():
-            tokens.append(np.frombuffer(row.tokens, dtype=np.uint64))
-            owner.append(np.frombuffer(row.owner, dtype=np.int32).astype(np.int64) + base)
-            fps.append(np.frombuffer(row.fps, dtype="V16"))
-            sizes.append(np.frombuffer(row.sizes, dtype=np.int64))
-            rest.append(np.frombuffer(row.rest, dtype=np.uint64).reshape(-1, 4))
-            parity.append(np.frombuffer(row.parity, dtype=np.uint64))
-            base += len(sizes[-1])
-        tokens, owner, fps = np.concatenate(tokens), np.concatenate(owner), np.concatenate(fps)
-        filters = _Filters(np.concatenate(sizes), np.concatenate(rest), np.concatenate(parity), p, q)
-        names, first, same = np.unique(fps.view("S16"), return_index=True, return_inverse=True)
-        owner = first[same[owner]]  # one index for each different set
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
+def _shared(ranges: int):
+    def shared(group: pd.DataFrame) -> pd.DataFrame:
+        """Tokens and the sets that have them, each once, without tokens that one set alone has (hot ones are all kept)."""
+        tokens = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group["tokens"]])
+        ids = np.concatenate([np.frombuffer(i, dtype=np.int64)[np.frombuffer(o, dtype=np.int32)] for o, i in zip(group["owner"], group["ids"], strict=True)])
+        order = np.lexsort((ids, tokens))
+        tokens, ids = tokens[order], ids[order]
         fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-        tokens, owner = tokens[fresh], owner[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [len(tokens)]]))
-        union = _Union(len(fps))
-        for m in range(2, dense + 1):  # all pairs of the small groups, of one length at a time
-            at = starts[lengths == m]
-            a, b = np.triu_indices(m, 1)
-            step = max(1, 500_000 // len(a))
-            for k in range(0, len(at), step):
-                i = owner[at[k : k + step, None] + a[None, :]].ravel()
-                j = owner[at[k : k + step, None] + b[None, :]].ravel()
-                apart = union.root[i] != union.root[j]
-                pair = np.unique(np.stack([i[apart], j[apart]], axis=1), axis=0)
-                ok = filters.passing(pair[:, 0], pair[:, 1])
-                union.add(pair[ok, 0], pair[ok, 1])
-        for at, m in zip(starts[lengths > dense], lengths[lengths > dense], strict=True):  # one against those not yet linked with it
-            members = owner[at : at + m]
-            for x in members:
-                others = members[union.root[members] != union.root[x]]
-                if not len(others):
-                    continue
-                ok = filters.passing(np.full(len(others), x), others)
-                union.add(np.full(ok.sum(), x), others[ok])
-        return pd.DataFrame({"a": [fps[x].tobytes() for x, _ in union.links], "b": [fps[y].tobytes() for _, y in union.links]}, dtype=object)
-
-    return met
-
-
-def _member_bit(fp: bytes) -> int:
-    return int.from_bytes(fp[:4], "big") >> (32 - MEMBER_BITS)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
+        tokens, ids = tokens[fresh], ids[fresh]
+        if group["r"].iloc[0] < ranges:
+            again = tokens[1:] == tokens[:-1]
+            several = np.zeros(len(tokens), bool)
+            several[1:] |= again
+            several[:-1] |= again
+            tokens, ids = tokens[several], ids[several]
+        return pd.DataFrame({"t": tokens, "id": ids})
 
+    return shared
 
-def _members(group: pd.DataFrame) -> pd.DataFrame:
-    """A slice of the member filter, from the fingerprints that fall on it."""
-    width = (1 << MEMBER_BITS) // SLICES
-    bits = np.zeros(width, dtype=np.uint8)
-    bits[[_member_bit(x) % width for x in group["fp"]]] = 1
-    return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
 
-
-def _sets(k: int, member):
+def _sets(k: int, p: int, q: int, levels):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The whole sets of cluster members, each once a partition."""
-        hasher, bits, seen = Hasher(k), np.frombuffer(member.value, dtype=np.uint8), set()
+        """Whole sets, each once a partition, with the filters of the other two orders' prefixes."""
+        hasher, level, seen = Hasher(k), np.frombuffer(levels.value, dtype=np.uint8), set()
         for batch in batches:
             out = []
             for text in batch["text"]:
                 s = hasher.shingles(text)
                 fp = fingerprint(s)
-                if fp is None or fp in seen or not bits[(b := _member_bit(fp)) >> 3] >> (7 - (b & 7)) & 1:
+                if fp is None or fp in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
-                out.append((fp, s.tobytes()))
-            yield pd.DataFrame(out, columns=["fp", "members"])
+                out.append((fp, _prefixes(s, level, p, q)[1].tobytes(), s.tobytes()))
+            yield pd.DataFrame(out, columns=["fp", "rest", "members"])
 
     return sets
 
 
+def _fold(wide: np.ndarray) -> np.ndarray:
+    """A parity bitmap of half as many bits: each is the parity of two neighbours (positions are leading hash bits)."""
+    flat = np.unpackbits(wide.view(np.uint8), bitorder="little")
+    return np.packbits(flat[0::2] ^ flat[1::2], bitorder="little").view(np.uint64)
+
+
+def close_enough(a: int, b: int, parity_a: bytes, parity_b: bytes, p: int, q: int) -> bool:
+    """Whether sets of sizes a and b may reach the similarity, by their sizes and parity bitmaps."""
+    if q * min(a, b) < p * max(a, b):
+        return False
+    x, y = np.frombuffer(parity_a, dtype=np.uint64), np.frombuffer(parity_b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = _fold(x)
+    while len(y) > len(x):
+        y = _fold(y)
+    return int(np.bitwise_count(x ^ y).sum()) <= a + b - 2 * ((p * (a + b) + p + q - 1) // (p + q))
+
+
+def orders_agree(rest_a: bytes, rest_b: bytes) -> bool:
+    """Whether sets may share a token in both other orders' prefixes."""
+    both = np.frombuffer(rest_a, dtype=np.uint64) & np.frombuffer(rest_b, dtype=np.uint64)
+    return bool(both[:2].any() and both[2:].any())
+
+
 def _verified(p: int, q: int):
-    def verified(group: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the pairs whose exact similarity reaches p/q, between the tile's sides or within side 0."""
-        group = group.drop_duplicates("fp")
-        side = group["side"].to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(right)
-        if not len(left) or bool(group["diagonal"].iloc[0]) != same:
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        right = left if same else right
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in group["members"]]
-        sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        who = np.repeat(np.arange(len(sets)), sizes)
-        _, column = np.unique(flat, return_inverse=True)
-        shared = np.bincount(column)[column] > 1  # what one set alone holds is in no overlap
-        column, who = column[shared], who[shared]
-        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-        place = np.empty(len(sets), dtype=np.int64)
-        if len(column):
-            values, column = np.unique(column, return_inverse=True)
-            on_left = np.isin(who, left)
-            for low in range(0, len(values), 8192):
-                here = (column >= low) & (column < low + 8192)
-                x = np.zeros((len(left), min(8192, len(values) - low)), dtype=np.float32)
-                place[left] = np.arange(len(left))
-                at = here & on_left
-                x[place[who[at]], column[at] - low] = 1
-                if same:
-                    overlap += x @ x.T
+    def verified(hubs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        """The sets of others that the other orders let pass and whose exact similarity with the hub reaches p/q."""
+        found = []
+        if len(hubs) and len(others):
+            hub, rest = np.frombuffer(hubs["hub_members"].iloc[0], dtype=np.uint64), hubs["hub_rest"].iloc[0]
+            for fp, other, members in zip(others["fp"], others["rest"], others["members"], strict=True):
+                if not orders_agree(rest, other):
                     continue
-                y = np.zeros((len(right), x.shape[1]), dtype=np.float32)
-                place[right] = np.arange(len(right))
-                at = here & ~on_left
-                y[place[who[at]], column[at] - low] = 1
-                overlap += x @ y.T
-        overlap = overlap.astype(np.int64)
-        union = sizes[left][:, None] + sizes[right][None, :] - overlap
-        i, j = np.nonzero(q * overlap >= p * union)
-        i, j = left[i], right[j]
-        edges = _forest(i, j, len(sets)) if len(i) else []
-        fps = group["fp"].to_numpy()
-        return pd.DataFrame({"a": [fps[x] for x, _ in edges], "b": [fps[y] for _, y in edges]}, dtype=object)
+                s = np.frombuffer(members, dtype=np.uint64)
+                both = len(np.intersect1d(hub, s, assume_unique=True))
+                if q * both >= p * (len(hub) + len(s) - both):
+                    found.append((hubs["hub"].iloc[0], fp))
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return verified
 
 
-def link(docs: DataFrame, k: int, p: int, q: int, tile: int = 128) -> tuple[DataFrame, DataFrame]:
-    """Tables of docs (doc_id, text): (doc_id, n, fp) for each row, and (fp, root) for each set with a link."""
+def _near(pairs: DataFrame, marks: DataFrame, p: int, q: int) -> DataFrame:
+    """Of pairs (hub, fp) those that sizes and parity bitmaps let pass, with n, the size of fp."""
+
+    @F.pandas_udf("boolean")
+    def fine(a: pd.Series, b: pd.Series, parity_a: pd.Series, parity_b: pd.Series) -> pd.Series:
+        return pd.Series([close_enough(*x, p, q) for x in zip(a, b, parity_a, parity_b, strict=True)], dtype=bool)
+
+    ours = marks.select(F.col("fp").alias("_a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
+    theirs = marks.select(F.col("fp").alias("_b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    marked = pairs.join(ours, F.col("hub") == F.col("_a")).join(theirs, F.col("fp") == F.col("_b"))
+    return marked.filter(fine("n_a", "n_b", "parity_a", "parity_b")).select("hub", "fp", F.col("n_b").alias("n"))
+
+
+def _compared(kept: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Of pairs (hub, fp, n) those whose whole sets reach the similarity, as (a, b).
+
+    A hub's partners are dealt over tiles of a bounded size; the hub's own set goes once to each tile.
+    """
+    tiles = F.ceil(F.greatest(F.sum("n") / TILE_SHINGLES, F.count(F.lit(1)) / TILE_SETS)).cast("int")
+    tiles = kept.groupBy(F.col("hub").alias("_hub")).agg(tiles.alias("tiles"))
+    whole = sets.select(F.col("fp").alias("_of"), "rest", "members")
+    hubs = tiles.join(whole, F.col("_hub") == F.col("_of")).select(
+        F.col("_hub").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("rest").alias("hub_rest"), F.col("members").alias("hub_members")
+    )
+    others = kept.join(tiles, F.col("hub") == F.col("_hub")).join(whole, F.col("fp") == F.col("_of"))
+    others = others.select("hub", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), "fp", "rest", "members")
+    return hubs.groupBy("hub", "tile").cogroup(others.groupBy("hub", "tile")).applyInPandas(_verified(p, q), "a binary, b binary")
+
+
+def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: int, q: int) -> DataFrame:
+    """From members (t, fp, n) of tokens, each set's (node, root) by links of the similarity: rounds of hubs, as above.
+
+    marks: (fp, n, parity) of all sets; fetch brings the whole sets of a table of fp. Only sets that sizes and parity leave are
+    fetched, each once.
+    """
+    links, roots, sets, step = None, None, None, 0
+    while True:  # each round takes a set out of every token that is still open
+        part = F.col("fp").alias("part")
+        if roots is not None:
+            members = members.join(roots, F.col("fp") == F.col("node"), "left")
+            part = F.coalesce("root", "fp").alias("part")
+        members = members.select("t", "fp", "n", part)
+        parts = members.groupBy("t", "part").agg(F.count(F.lit(1)).alias("_n"))
+        parts = parts.groupBy(F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_size"), F.max_by("part", F.struct("_n", "part")).alias("_top"))
+        parts = parts.filter("_parts > 1")
+        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "n", "part", "_top", "_size"), "open-groups")
+        if open_groups.isEmpty():
+            return roots if roots is not None else members.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+        hash_of = F.xxhash64(F.lit(step), "fp")
+        draw = F.when(F.col("_size") <= SMALL_GROUP[min(step, 1)], hash_of).otherwise(F.pmod(hash_of, F.lit(min(MORE_HUBS**step, 1 << 20))))
+        hubs = open_groups.filter("part <> _top").groupBy(F.col("t").alias("_t"), draw.alias("_draw")).agg(F.min(F.struct("fp", "n", "part")).alias("_hub"))
+        hubs = hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.n").alias("_n"), F.col("_hub.part").alias("_part"))
+        near = (F.col("t") == F.col("_t")) & (F.col("part") != F.col("_part")) & (q * F.least("n", "_n") >= p * F.greatest("n", "_n"))
+        pairs = hubs.join(open_groups, near).select(F.least("hub", "fp").alias("hub"), F.greatest("hub", "fp").alias("fp")).distinct()
+        kept = scratch.table(_near(pairs, marks, p, q), "passed")
+        if not kept.isEmpty():
+            wanted = kept.select("fp").union(kept.select("hub")).distinct()
+            wanted = wanted if sets is None else wanted.join(sets.select(F.col("fp").alias("_had")), F.col("fp") == F.col("_had"), "left_anti")
+            fetched = fetch(wanted)
+            sets = fetched if sets is None else sets.unionByName(fetched)
+            found = scratch.table(_compared(kept, sets, p, q), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = scratch.table(components(links), "roots")
+        met = hubs.select(F.col("_t"), F.col("hub").alias("_met"))
+        members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp", "n")
+        step += 1
+
+
+def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of docs (doc_id, text): (doc_id, body, n, fp) for each row, body the text's hash, and (node, root) for each set with a link."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = scratch.table(docs.mapInPandas(_scan(k), "doc_id long, n long, fp binary, slice int, counts binary"), "shingles")
-    own = scanned.filter("slice < 0").select("doc_id", "n", "fp")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
+    scanned = scratch.table(docs.mapInPandas(_scan(k), "doc_id long, body long, n long, fp binary, parity binary, id long, slice int, counts binary"), "shingles")
+    own = scanned.filter("slice < 0").select("doc_id", "body", "n", "fp", "id", "parity")
     levels = bytearray(1 << BUCKET_BITS)
     width = len(levels) // SLICES
     for row in scanned.filter("slice >= 0").groupBy("slice").applyInPandas(_summed, "slice int, levels binary").toLocalIterator():
         levels[row["slice"] * width : (row["slice"] + 1) * width] = row["levels"]
+    levels = spark.sparkContext.broadcast(bytes(levels))
     ranges = max(12, int((own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (q - p) // q) >> 20))
-    emitted = docs.mapInPandas(
-        _emit(k, p, q, spark.sparkContext.broadcast(bytes(levels)), ranges),
-        "r int, tokens binary, owner binary, fps binary, sizes binary, rest binary, parity binary",
-    )
-    pairs = scratch.table(emitted.groupBy("r").applyInPandas(_met(p, q), "a binary, b binary"), "candidates")
-    clusters = scratch.table(components(pairs), "clusters")
-    bits = bytearray((1 << MEMBER_BITS) // 8)
-    width = len(bits) // SLICES
-    sliced = clusters.select(F.col("node").alias("fp"), (F.conv(F.substring(F.hex("node"), 1, 2), 16, 10).cast("int") / (256 // SLICES)).cast("int").alias("slice"), F.substring(F.hex("node"), 1, 4).alias("salt"))
-    for row in sliced.groupBy("slice").applyInPandas(_members, "slice int, bits binary").toLocalIterator():
-        bits[row["slice"] * width : (row["slice"] + 1) * width] = row["bits"]
-    sets = docs.mapInPandas(_sets(k, spark.sparkContext.broadcast(bytes(bits))), "fp binary, members binary")
-    counts = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    placed = scratch.table(
-        clusters.join(counts, "root").select(F.col("node"), F.col("root").alias("cluster"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")), "placed"
-    )
-    sides = (
-        sets.join(placed, F.col("fp") == F.col("node"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-            (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("diagonal"), "fp", "members",
-        )
-    )
-    links = scratch.table(sides.groupBy("cluster", "low", "high").applyInPandas(_verified(p, q), "a binary, b binary"), "links")
-    return own, components(links)
+    emitted = docs.select("text").mapInPandas(_emit(k, p, q, levels, ranges), "r int, tokens binary, owner binary, ids binary")
+    shared = scratch.table(emitted.groupBy("r").applyInPandas(_shared(ranges), "t long, id long"), "shared-tokens")
+    # of tokens that the very same sets share, one is enough
+    alike = shared.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.col("id") % 1000003).alias("s"), F.min("id").alias("low")).filter("n > 1")
+    alike = alike.groupBy("n", "x", "s", "low").agg(F.min("t").alias("_t"))
+    shared = scratch.table(shared.join(alike.select("_t"), F.col("t") == F.col("_t"), "left_semi"), "tokens")
+    ids = shared.select(F.col("id").alias("_id")).distinct()
+    marks = own.filter("fp is not null").groupBy("fp", "id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("body").alias("body"))
+    marks = scratch.table(marks.join(ids, F.col("id") == F.col("_id"), "left_semi"), "marks")
+
+    def fetch(fps: DataFrame) -> DataFrame:
+        """Whole sets, from a text of each: only texts whose hash may be wanted are cut into shingles again."""
+        fps = fps.select(F.col("fp").alias("_fp"))
+        bodies = scratch.table(marks.join(fps, F.col("fp") == F.col("_fp"), "left_semi").select("body"), "bodies")
+        wanted = filters.flagged(docs, F.col("body"), bodies, "_maybe").filter("_maybe").select("text")
+        sets = wanted.mapInPandas(_sets(k, p, q, levels), "fp binary, rest binary, members binary")
+        return scratch.table(sets.dropDuplicates(["fp"]), "whole-sets")
+
+    members = shared.join(marks.select(F.col("id").alias("_id"), "fp", "n"), F.col("id") == F.col("_id")).select("t", "fp", "n")
+    return own, _linked(scratch.table(members, "members"), marks, fetch, p, q)
 
 
 def classes(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """link(), and for each set (_of, component_id, _rows): the least id of its component and how many rows have it."""
+    """link(), and for each set (_of, _root, component_id): its component and the least doc_id of that."""
     own, roots = link(docs, k, p, q)
     sets = own.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("_least"))
     sets = sets.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
@@ -420,17 +411,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> D
 def one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """The rows of docs that stay when one document of each component does: one with its least doc_id.
 
-    Rows that share that id and text, and components of null ids, are settled by dropping repeats of a component.
+    Rows that share that id and text, and components of null ids, are settled by dropping repeats. What goes is
+    decided on ids and hashes; only rows that may have to go are shuffled (filters.flagged). Columns may have any names.
     """
-    _, found = classes(docs, k, p, q)
-
-    @F.pandas_udf("binary")
-    def printed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = Hasher(k)
-        for texts in batches:
-            yield pd.Series([fingerprint(hasher.shingles(t)) for t in texts], dtype=object)
-
-    rows = docs.withColumn("_fp", printed("text")).join(found, F.col("_fp") == F.col("_of"), "left")
-    alone = rows.filter("_fp is null").select(*docs.columns)
-    grouped = rows.filter(F.col("_fp").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return grouped.dropDuplicates(["_root"]).select(*docs.columns).unionByName(alone)
+    needed = ["doc_id", "text"]
+    own, found = classes(docs, k, p, q)
+    rows = own.filter("fp is not null").groupBy("doc_id", "body", "fp").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = scratch.table(rows.join(found, F.col("fp") == F.col("_of")).select("doc_id", "body", "_rows", "_root"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    first = rows.groupBy(F.col("_root").alias("_in")).agg(F.min(order).alias("_first"))
+    rows = rows.join(first, F.col("_root") == F.col("_in"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("body") == F.col("_first.body"))
+    marked = rows.select(F.col("doc_id").alias("_id"), F.col("body").alias("_text"), stays.alias("_stays"), "_rows").filter("_rows > 1 or not _stays")
+    marked = scratch.table(marked.withColumn("_key", F.xxhash64("_id", "_text")), "leaving")
+    slim = carry.packed(docs, needed).withColumn("_long", F.col("doc_id").cast("long")).withColumn("_body", F.xxhash64("text"))
+    slim = filters.flagged(slim, F.xxhash64("_long", "_body"), marked.select("_key"), "_maybe")
+    maybe = slim.filter("_maybe").join(marked, F.col("_long").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_text")), "left")
+    once = maybe.filter("_stays").dropDuplicates(["_long", "_body"])
+    out = slim.filter("not _maybe").unionByName(maybe.filter("_stays is null"), allowMissingColumns=True).unionByName(once, allowMissingColumns=True)
+    return carry.unpacked(out, docs, needed, [])
