@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import scratch
+from sparkrecon.llm import carry, scratch
 from sparkrecon.llm.ranking import ranked
 
 
@@ -47,58 +48,41 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
 
     Seats that any divisor near the final one grants are given at once: with V votes, T seats and S parties the
     final divisor lies between V / (T + S/2) and V / (T - S/2), so only a few quotients a party are compared.
+    Without a group there is one, and its three sums are constants.
     """
     sums = parties.groupBy(*group).agg(
         F.sum(votes).alias("_v"), F.count(F.when(F.col(votes) > 0, 1)).alias("_s"), F.first(seats).alias("_t")
     )
-    on: Column | None = None
-    for c in group:
-        same = F.col(f"_p.{c}").eqNullSafe(F.col(f"_g.{c}"))
-        on = same if on is None else on & same
+    near = _with(parties, sums, group, ["_v", "_s", "_t"])
     near = (
-        parties.alias("_p")
-        .join(sums.alias("_g"), on)
-        .select(*[F.col(f"_p.{c}") for c in parties.columns], "_v", "_s", "_t")
-        .withColumn("_unit", F.when(F.col("_v") > 0, F.col(votes) / F.col("_v")).otherwise(0.0))
+        near.withColumn("_unit", F.when(F.col("_v") > 0, F.col(votes) / F.col("_v")).otherwise(0.0))
         .withColumn("_lo", F.greatest(F.lit(0), F.floor(F.col("_unit") * (F.col("_t") - F.col("_s") / 2) + 0.5) - 1))
         .withColumn("_hi", F.floor(F.col("_unit") * (F.col("_t") + F.col("_s") / 2) + 0.5) + 1)
     )
     near = scratch.table(near, "seats")
-    sure = near.groupBy(*group).agg(F.sum("_lo").alias("_sure"))
     rivals = near.filter(F.col(votes) > 0).select(
         *group, party, F.col(votes).alias("_votes"), F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_k")
     )
     order = [(F.col("_votes") / (2 * F.col("_k") - 1)).desc(), F.col(party).asc_nulls_last(), F.col("_k").asc()]
     won = ranked(rivals, group, order, "_place")
-    keys = [*group, party]
-    won = won.select(*[F.col(c).alias(f"_w_{c}") for c in group], F.col(party).alias("_w_party"), "_place")
-    match = F.lit(True)
-    for c in group:
-        match = match & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-    left = near.select(*group, F.col("_t")).distinct().alias("_a").join(
-        sure.alias("_b"), _same("_a", "_b", group)
-    ).select(*[F.col(f"_a.{c}") for c in group], (F.col("_t") - F.col("_sure")).alias("_left"))
-    extra = (
-        won.join(left, match)
-        .filter(F.col("_place") <= F.col("_left"))
-        .groupBy(*[f"_w_{c}" for c in group], "_w_party")
-        .agg(F.count(F.lit(1)).alias("_extra"))
-    )
-    for c in keys[:-1]:
-        extra = extra.withColumnRenamed(f"_w_{c}", f"_x_{c}")
-    on = F.col(party).eqNullSafe(F.col("_w_party"))
-    for c in group:
-        on = on & F.col(c).eqNullSafe(F.col(f"_x_{c}"))
-    return near.join(extra, on, "left").select(
-        *parties.columns, (F.col("_lo") + F.coalesce(F.col("_extra"), F.lit(0))).cast("long").alias(into)
-    )
+    left = near.groupBy(*group).agg((F.first("_t") - F.sum("_lo")).alias("_left"))
+    won = _with(won.select(*group, party, "_place"), left, group, ["_left"]).filter(F.col("_place") <= F.col("_left"))
+    extra = won.groupBy(*group, party).agg(F.count(F.lit(1)).alias("_extra"))
+    near = near.alias("_a").join(extra.alias("_b"), _same("_a", "_b", [*group, party]), "left")
+    seats_of = (F.col("_lo") + F.coalesce(F.col("_extra"), F.lit(0))).cast("long").alias(into)
+    return near.select(*[F.col(f"_a.{c}") for c in parties.columns], seats_of)
+
+
+def _with(rows: DataFrame, sums: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """rows with the sums of their group; the sums of a single group are brought to the driver and put in as constants."""
+    if not group:
+        one = sums.first()
+        return rows.withColumns({c: F.lit(one[c]).cast(sums.schema[c].dataType) for c in columns})
+    return rows.alias("_a").join(sums.alias("_b"), _same("_a", "_b", group)).select("_a.*", *[f"_b.{c}" for c in columns])
 
 
 def _same(a: str, b: str, columns: list[str]) -> Column:
-    on = F.lit(True)
-    for c in columns:
-        on = on & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    return on
+    return functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
 
 
 def mix(
@@ -122,16 +106,17 @@ def mix(
     Adds source_size, target, taken (words, repeats counted), passes (whole repeats) and the spans of words taken
     once more: [span1_from, span1_to) and [span2_from, span2_to). Null sizes count as 0 words; empty documents are
     taken 0 times; a null source is a source of its own; rows that agree in doc_id, size and ties are
-    interchangeable, so reruns agree. Extra columns are kept.
+    interchangeable, so reruns agree. An added column takes the place of an input column of its name; other columns are
+    carried whatever their names.
     """
-    mine = [c for c in rows.columns]
-    rows = rows.withColumn("size", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")))
+    given, needed = rows, ["doc_id", "source", "size", *ties]
+    rows = carry.packed(rows, needed).withColumn("size", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")))
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     sources = targets(scratch.table(by_source, "by-source"), weights, share, cap)
     blocks = F.lit(float(block_words))
     paid = float(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
-    sources = sources.withColumn("_all", F.lit(True)).withColumn("_blocks", F.lit(int(paid / block_words + 0.5)).cast("long"))
-    sources = apportion(sources, ["_all"], "source", "target", "_blocks", "_quota")
+    sources = sources.withColumn("_blocks", F.lit(int(paid / block_words + 0.5)).cast("long"))
+    sources = apportion(sources, [], "source", "target", "_blocks", "_quota")
     sources = scratch.table(
         sources.select(
             F.col("source").alias("_source"), "source_size", "target", F.col("_quota").alias("_source_quota"),
@@ -175,4 +160,4 @@ def mix(
     spans = {"span1_from": low1, "span1_to": high1, "span2_from": low2, "span2_to": high2}
     placed = placed.withColumns({k: v.cast("long") for k, v in spans.items()})
     taken = F.col("passes") * F.col("size") + F.col("span1_to") - F.col("span1_from") + F.col("span2_to") - F.col("span2_from")
-    return placed.select(*mine, "source_size", "target", taken.alias("taken"), "passes", *spans)
+    return carry.unpacked(placed.withColumn("taken", taken), given, needed, ["source_size", "target", "taken", "passes", *spans])

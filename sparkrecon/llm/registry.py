@@ -46,8 +46,8 @@ def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).select("doc_id", "source", text.n_words(F.col("text")).alias("size"))
-    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    rows = _documents(spark, sf_dir).select("doc_id", "source", text.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("body"))
+    return mixing.mix(rows, ties=["body"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from sparkrecon.llm import mixing, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +61,10 @@ def test_query_meets_its_targets(spark, sf):
 def test_odd_rows(spark):
     rows = [(1, "a", 10), (1, "a", 10), (None, None, 5000), (2, "", None), (3, "a", 0), (None, None, 70)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    clashing = df.withColumn("_source", F.lit("x")).withColumn("PASSES", F.lit("y")).withColumn("_quota", F.lit("z"))
+    out = mixing.mix(clashing)
+    assert out.columns[:5] == ["doc_id", "source", "size", "_source", "_quota"] and out.columns.count("passes") == 1
+    assert {(r["_source"], r["_quota"]) for r in out.collect()} == {("x", "z")}
     got = mixing.mix(df).collect()
     assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
