@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import mixing, packing, quality, scratch, shingles, templates, text
+from sparkrecon.llm import carry, mixing, packing, quality, scratch, shingles, templates, text
+
+#: What the stages work on; a document's other columns are carried along whatever their names.
+NEEDED = ["doc_id", "source", "text"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that over 20 texts of their host hold, at any size of the host."""
-    judged = quality.rules(docs, least=20, share=0.0, remove=True)
+    judged = quality.rules(carry.packed(docs, NEEDED), least=20, remove=True)
     return _as_documents(judged.filter("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of templates in over 20 texts, at any size; of 50 words or more, in over one."""
-    return _as_documents(templates.drop_templates(docs, least=20, share=0.0, long_words=50, variable=True, keep_one=True), docs)
+    return _as_documents(templates.drop_templates(carry.packed(docs, NEEDED), least=20, long_words=50, variable=True, hollow=0.5), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +29,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that a document is taken, whole or the span of words that a block's edge cuts off."""
-    sized = docs.withColumn("_size", text.n_words(F.col("text"))).withColumn("_text", F.xxhash64("text"))
-    mixed = mixing.mix(sized.withColumnRenamed("_size", "size"), ties=["_text"])
+    sized = carry.packed(docs, NEEDED).withColumn("size", text.n_words(F.col("text"))).withColumn("body", F.xxhash64("text"))
+    mixed = mixing.mix(sized, ties=["body"])
     whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
     spans = F.array(*[F.when(F.col(f"{s}_to") > F.col(f"{s}_from"), text.word_span(F.col("text"), F.col(f"{s}_from"), F.col(f"{s}_to"))) for s in ("span1", "span2")])
     taken = mixed.withColumn("text", F.explode(F.concat(whole, F.filter(spans, lambda x: x.isNotNull()))))
@@ -41,7 +44,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of documents, n_chars as the text now has."""
-    return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = carry.unpacked(rows, docs, NEEDED, [])
+    return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES = [
