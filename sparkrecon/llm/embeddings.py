@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import scratch
+from sparkrecon.llm import carry, scratch
 from sparkrecon.llm.components import components
 
 
@@ -85,7 +85,7 @@ def _tiles(threshold: float):
     return pairs
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, tile: int = 256) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, tile: int = 1024) -> DataFrame:
     """Link rows (vec_id, embedding, label) of equal label whose cosine reaches the threshold.
 
     Equal vectors of a label are one key with a count of copies. Each label's keys are dealt over tiles of about tile
@@ -93,12 +93,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, tile: int = 256) -
     error bounds leave open, and returns link counts and a spanning forest of its links: rows in
     proportion to keys, not to pairs.
 
+    An added column takes the place of an input column of its name; other columns are carried whatever their names.
     Returns every row (its columns kept) with n_links, component_id (least vec_id reachable) and kept
     (vec_id = component_id). A null label, and a vector that is null, empty, zero or holds null, NaN or infinite
     components, links with nothing: n_links 0, its own component. Vectors of different lengths do not link. A
     null vec_id takes no part in the least id; a component of null ids has a null id and is kept.
     """
-    mine = rows.columns
+    given_rows, needed = rows, ["vec_id", "embedding", "label"]
+    rows = carry.packed(rows, needed)
     values = F.col("embedding").cast("array<double>")
     fine = (
         (F.size(values) > 0)
@@ -155,7 +157,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, tile: int = 256) -
     each = scratch.table(each.join(least, F.col("_root") == F.col("_of_root")).select("_of", "_links", "_component"), "classes")
     out = given.drop("_vector").join(each, F.col("_key") == F.col("_of"), "left")
     component = F.when(F.col("_of").isNull(), F.col("vec_id")).otherwise(F.col("_component"))
-    return out.select(
-        *mine, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
-    )
+    out = out.withColumns({
+        "n_links": F.coalesce("_links", F.lit(0)).cast("long"), "component_id": component, "kept": F.col("vec_id").eqNullSafe(component),
+    })
+    return carry.unpacked(out, given_rows, needed, ["n_links", "component_id", "kept"])

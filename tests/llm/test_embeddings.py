@@ -30,7 +30,9 @@ def brute(rows, threshold=0.93):
 
 
 def run(spark, rows, **more):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "'x' n_links", "'y' _key")
+    assert embeddings.near_duplicates(df.limit(0)).columns == ["vec_id", "embedding", "label", "_key", "n_links", "component_id", "kept"]
+    assert not rows or {r["_key"] for r in embeddings.near_duplicates(df.limit(2)).collect()} == {"y"}
     return sorted(map(tuple, embeddings.near_duplicates(df, **more).select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
 
 
