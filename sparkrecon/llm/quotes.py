@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import scratch, text
+from sparkrecon.llm import carry, scratch, text
 from sparkrecon.llm.ranking import ranked
 
 _MARKS = r"^(?:[ \t]?>)++"
@@ -61,9 +61,11 @@ def link(messages: DataFrame) -> DataFrame:
     Adds position (from 1, by turn, then role and text), reply_to (a position; null for the first), n_quotes (quoted
     lines, paragraphs and passages), n_linked (those found); text is left without quotations and the lines that announce them.
     reply_to is always lower than position. A null conv_id is a conversation; null turns come last; a null text stays
-    null and quotes nothing; repeated rows are messages of their own.
+    null and quotes nothing; repeated rows are messages of their own. An added column takes the place of an input
+    column of its name; other columns are carried whatever their names.
     """
-    spark_columns = messages.columns
+    given, needed = messages, ["conv_id", "turn", "role", "text"]
+    messages = carry.packed(messages, needed)
     order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     placed = ranked(messages, ["conv_id"], order, "_pos")
     parts = placed.withColumn("_split", F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.struct(_level(x).alias("level"), _body(x).alias("line"))))
@@ -88,10 +90,11 @@ def link(messages: DataFrame) -> DataFrame:
     rest = F.array_join(F.transform(F.filter(F.col("_parts"), lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     rest = F.regexp_replace(rest, r"^[\x20\x09-\x0D]*\n|[\x20\x09-\x0D]+$", "")
     changed = F.exists(F.col("_parts"), lambda x: x["level"] > 0)
-    return out.select(
-        *[F.when(changed & F.col("text").isNotNull(), rest).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in spark_columns],
-        F.col("_pos").cast("long").alias("position"),
-        F.when(F.col("_pos") > 1, F.coalesce("_reply", F.col("_pos") - 1)).cast("long").alias("reply_to"),
-        F.coalesce("_quotes", F.lit(0)).cast("long").alias("n_quotes"),
-        F.coalesce("_linked", F.lit(0)).cast("long").alias("n_linked"),
-    )
+    out = out.withColumns({
+        "text": F.when(changed & F.col("text").isNotNull(), rest).otherwise(F.col("text")),
+        "position": F.col("_pos").cast("long"),
+        "reply_to": F.when(F.col("_pos") > 1, F.coalesce("_reply", F.col("_pos") - 1)).cast("long"),
+        "n_quotes": F.coalesce("_quotes", F.lit(0)).cast("long"),
+        "n_linked": F.coalesce("_linked", F.lit(0)).cast("long"),
+    })
+    return carry.unpacked(out, given, needed, ["position", "reply_to", "n_quotes", "n_linked"])
