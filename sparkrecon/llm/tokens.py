@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrecon.llm import carry
+
 #: What the library writes for a space inside pieces; it also stands for itself in a text.
 MARK = "▁"
 #: Pre-tokens remembered by a Python worker; beyond it the memory starts anew.
@@ -78,7 +80,8 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """Add n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) to docs (text, ...).
 
     model names a file of the public tokenizers. Null text counts as empty: 0 bytes, 0 tokens. A text is
-    handled whole in one call, beside a bounded memory of pre-tokens. No shuffle.
+    handled whole in one call, beside a bounded memory of pre-tokens. No shuffle. An added column takes the place of an
+    input column of its name; other columns are carried whatever their names.
     """
 
     @F.pandas_udf("long")
@@ -89,8 +92,10 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
         for texts in batches:
             yield pd.Series([0 if t is None else count(t) for t in texts], dtype="int64")
 
-    return (
-        docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = (
+        carry.packed(docs, ["text"])
+        .withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
         .withColumn("n_tokens", tokens_of("text"))
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
+    return carry.unpacked(rows, docs, ["text"], ["n_bytes", "n_tokens", "over_limit"])

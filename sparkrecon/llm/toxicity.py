@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import text
+from sparkrecon.llm import carry, text
 
 #: A token and its beginnings (inflected forms share them) are hashed to so many buckets: the model has one size.
 BUCKETS = 1 << 20
@@ -58,7 +58,7 @@ class Gains:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, docs: tuple[int, int], prior: float, least_z: float, least_docs: int) -> np.ndarray:
-    """Log-odds of a document's holding each feature, with a symmetric Dirichlet prior; 0 unless z >= least_z.
+    """Log-odds of a document's holding each feature, with a symmetric Dirichlet prior on presence; 0 unless z >= least_z.
 
     toxic, clean: how many documents of either kind hold the feature (a document that repeats it counts once, so
     junk that repeats a token teaches nothing); docs: how many there are.
@@ -209,7 +209,8 @@ def fit(
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Add held_out (fold 2 of 4), score, predicted, n_passages and passages (first and last token, score) to docs (doc_id, text).
 
-    Null and empty texts have no passage and get the score of no evidence. Texts are scored whole. No shuffle.
+    Null and empty texts have no passage and get the score of no evidence. Texts are scored whole. No shuffle. An added
+    column takes the place of an input column of its name; other columns are carried whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -225,12 +226,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 out.append((probability(m, len(g), [s for _, _, s in found]), [{"first": a, "last": z, "score": s} for a, z, s in found]))
             yield pd.DataFrame(out, columns=["score", "passages"])
 
-    return (
-        docs.withColumn("_judged", judged("text"))
+    needed = ["doc_id", "text"]
+    rows = (
+        carry.packed(docs, needed)
+        .withColumn("_judged", judged("text"))
         .withColumn("held_out", text.fold(F.col("doc_id"), 4) == 2)
         .withColumn("score", F.col("_judged.score"))
         .withColumn("predicted", (F.col("_judged.score") >= threshold).cast("int"))
         .withColumn("passages", F.col("_judged.passages"))
         .withColumn("n_passages", F.size("passages"))
-        .drop("_judged")
     )
+    return carry.unpacked(rows, docs, needed, ["held_out", "score", "predicted", "passages", "n_passages"])

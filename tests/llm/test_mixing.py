@@ -69,3 +69,26 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(df.filter("size = 0")).collect()} == {0}
+
+
+def test_mix_equals_quotas(spark):
+    """One shard a source: each takes exactly its seats, as whole passes and a run of blocks."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0, 3, 70, 640])) for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    sizes = {}
+    for _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    want = targets(sizes)
+    quota = seats({(s is None, s): v for s, v in want.items()}, int(sum(want.values()) / 64 + 0.5))
+    for source, size in sizes.items():
+        mine = [r for r in got if r.source == source]
+        n = -(-size // 64)
+        blocks = min(quota[source is None, source], 2 * n)
+        passes, rest = divmod(blocks, n)
+        assert {r.passes for r in mine} == {passes}
+        assert all(passes * r.size <= r.taken <= (passes + 1) * r.size for r in mine)
+        last = size - (n - 1) * 64
+        assert sum(r.taken for r in mine) - passes * size in (rest * 64, (rest - 1) * 64 + last)

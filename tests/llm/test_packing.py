@@ -51,3 +51,19 @@ def test_every_word_is_packed_once(spark, sf):
         assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert packing.pack(docs.limit(0)).count() == 0
     assert sum(r.size for r in registry.op10_best_fit_packing(spark, sf).collect()) == sum(r.size for r in registry.op7_mix_sources(spark, sf).collect())
+
+
+def test_pack_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, 1, 2, 3]), rng.randrange(1, 260)) for i in range(150)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, cluster long, size long"), capacity=100).collect()
+    pieces = [(min(100, size - low), i, low // 100, source, cluster) for i, source, cluster, size in rows for low in range(0, size, 100)]
+    pieces.sort(key=lambda x: (-x[0], x[1], x[2]))
+    want = brute([(size, source, -1 if cluster is None else cluster) for size, _, _, source, cluster in pieces], 100)
+    left = defaultdict(lambda: 100)
+    for r in got:
+        left[r.bin_id] -= r.size
+    assert sorted(left.values()) == want
+    assert sorted((r.size, r.doc_id, r.piece) for r in got) == sorted(x[:3] for x in pieces)

@@ -28,7 +28,11 @@ def test_counts_on_random_strings():
 
 def test_odd_rows(spark):
     rows = [(1, None), (None, ""), (3, "a b " * 50000), (3, "a b " * 50000), (4, "x" * 10000)]
-    got = tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' N_TOKENS", "'y' _carried")
+    got = tokens.count_tokens(docs)
+    assert got.columns == ["doc_id", "text", "_carried", "n_bytes", "n_tokens", "over_limit"]
+    got = got.collect()
+    assert {r["_carried"] for r in got} == {"y"}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
     assert [r.n_tokens for r in got] == [len(library.encode(t or "")) for _, t in rows]
     assert tokens.count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -59,3 +59,24 @@ def test_odd_rows(spark):
         assert got.count() == 4
         assert got.filter("predicted = 1").count() == 0
         assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_scores_by_definition(spark):
+    """Segments found by definition, the extreme-value law and the logistic step written out, for short texts with ties."""
+    words = "plain calm words here and there with more".split()
+    texts = [(i, " ".join(random.Random(i).choice(words) for _ in range(12)) + (" vile filth vile" if i % 3 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(texts + texts[:3], "doc_id long, text string").selectExpr("*", "'x' score")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "text", "held_out", "score", "predicted", "passages", "n_passages"]
+    for r in got.collect():
+        gains = [max(float(model.bonus[f]) for f in toxicity.features(w)) for w in toxicity.TOKEN.findall(r.text.lower())]
+        scores = [x[2] for x in brute([g if g > 0 else -model.drift for g in gains])]
+        best = beyond = 0.0
+        if scores:
+            logs = [model.lam * s - np.log(model.k * len(gains)) for s in scores]
+            best = min(60.0, -np.log(max(1 - np.exp(-np.exp(-max(logs))), 1e-300)))
+            beyond = min(200.0, sum(x for x in logs if x > 3))
+        z = model.weights[0] + model.weights[1] * best + model.weights[2] * np.log1p(beyond)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.3)
