@@ -23,9 +23,10 @@ CORRECTIONS = (
     ("黄浦", "黄埔"), ("花者", "花都"), ("萝岗", "萝岗"), ("【", "〔"), ("】", "〕"),
 )
 
-_BRACKET = f"[{OPEN.replace('[', chr(92) + '[')}]", f"[{CLOSE.replace(']', chr(92) + ']')}]"
-NOTICE = rf"穗公积金中心[^\s，。；《》]*?责字{_BRACKET[0]}\d{{4}}{_BRACKET[1]}\d+(?:-\d+)?号"
-NOTICE_RANGE = rf"(穗公积金中心[^\s，。；《》]*?责字{_BRACKET[0]}\d{{4}}{_BRACKET[1]})(\d+)号至\s*(\d+)号"
+# An identifier's form; a district never holds a mark of punctuation.
+NOTICE_HEAD = r"穗公积金中心[^\s，。；、《》]*?责字[〔\[(［【（]\d{4}[〕\)\]］】）]"
+NOTICE = NOTICE_HEAD + r"\d+(?:-\d+)?号"
+NOTICE_RANGE = rf"({NOTICE_HEAD})(\d+)号至\s*(\d+)号"
 
 
 def strip(c: Column) -> Column:
@@ -128,7 +129,7 @@ def repair_notice(c: Column) -> Column:
 
 def notice_parts(c: Column) -> Column:
     """struct<prefix, district, year, number> of a notice; null where it is none."""
-    pattern = rf"^([一-鿿]{{1,2}}公积金中心)([一-鿿]{{0,4}}?)[责贵]字{_BRACKET[0]}(\d{{4}}){_BRACKET[1]}(\d+(?:-\d+)?)号"
+    pattern = r"^([一-鿿]{1,2}公积金中心)([一-鿿]{0,4}?)[责贵]字[〔\[(［【（](\d{4})[〕\)\]］】）](\d+(?:-\d+)?)号"
     part = lambda i: F.regexp_extract(c, pattern, i)
     names = ("prefix", "district", "year", "number")
     return F.when(c.rlike(pattern), F.struct(*[part(i + 1).alias(n) for i, n in enumerate(names)]))
