@@ -28,36 +28,46 @@ class Level:
 def leveled_join(probes: DataFrame, ledger: DataFrame, levels: Sequence[Level], probe_id: str, row_no: str, every: bool = False) -> DataFrame:
     """Each probe with the ledger row of its first level that has one; within a level the best score, then the first row.
 
-    every keeps all rows of that level. Unmatched probes stay, with a null level and needs_review. Null keys match
-    nothing. Adds match_level (from 1), match_name and needs_review.
+    every keeps all rows of that level. Unmatched probes stay, with a null level and needs_review. Null and blank keys
+    match nothing. Adds match_level (from 1), match_name and needs_review. The levels' keys stand side by side in one row
+    a probe and level, so that probes and ledger meet in one join; probes without any match are joined no further.
     """
-    found = None
-    for i, level in enumerate(levels, 1):
-        left = probes.withColumn("_key", level.probe_key).filter(F.col("_key").isNotNull())
-        right = ledger.withColumn("_ledger_key", level.ledger_key).filter(F.col("_ledger_key").isNotNull())
-        on = F.col("_key") == F.col("_ledger_key")
-        pairs = left.join(right, on if level.where is None else on & level.where)
-        score = F.lit(0.0) if level.score is None else level.score
-        pairs = pairs.select(F.col(probe_id).alias("_probe"), F.col(row_no).alias("_row"), F.lit(i).alias("match_level"), F.lit(level.name).alias("match_name"), F.lit(level.review).alias("needs_review"), score.cast("double").alias("_score"))
-        found = pairs if found is None else found.unionByName(pairs)
+    fill = lambda c: F.when(F.trim(c.cast("string")) != "", c.cast("string"))
+    keys = lambda of: F.filter(F.array(*[F.struct(F.lit(i).alias("lv"), fill(of(v)).alias("key")) for i, v in enumerate(levels, 1)]), lambda x: x["key"].isNotNull())
+    left = probes.withColumn("_keys", F.explode(keys(lambda v: v.probe_key)))
+    right = ledger.withColumn("_ledger_keys", F.explode(keys(lambda v: v.ledger_key)))
+    met = left.join(right, (F.col("_keys.lv") == F.col("_ledger_keys.lv")) & (F.col("_keys.key") == F.col("_ledger_keys.key")))
+    level = F.col("_keys.lv")
+    of_level = lambda f: F.coalesce(*[F.when(level == i, f(v)) for i, v in enumerate(levels, 1)])
+    if any(v.where is not None for v in levels):
+        met = met.filter(of_level(lambda v: F.lit(True) if v.where is None else v.where))
+    score = of_level(lambda v: F.lit(0.0) if v.score is None else v.score.cast("double"))
+    pairs = met.select(F.col(probe_id).alias("_probe"), *[F.col(c).alias(f"_l_{i}") for i, c in enumerate(ledger.columns)], F.col(row_no).alias("_row"), level.alias("match_level"), score.alias("_score"))
     order = Window.partitionBy("_probe")
     if every:
-        picked = found.withColumn("_first", F.min("match_level").over(order)).filter("match_level = _first").drop("_first").dropDuplicates(["_probe", "_row"])
+        picked = pairs.withColumn("_first", F.min("match_level").over(order)).filter("match_level = _first").dropDuplicates(["_probe", "_row"])
     else:
-        picked = found.withColumn("_at", F.row_number().over(order.orderBy("match_level", F.col("_score").desc(), "_row"))).filter("_at = 1").drop("_at")
-    joined = probes.join(picked, F.col(probe_id) == F.col("_probe"), "left").join(ledger, F.col("_row") == F.col(row_no), "left")
-    return joined.withColumn("needs_review", F.coalesce("needs_review", F.lit(True))).drop("_probe", "_row", "_score")
+        picked = pairs.withColumn("_first", F.row_number().over(order.orderBy("match_level", F.col("_score").desc(), "_row"))).filter("_first = 1")
+    joined = probes.join(picked, F.col(probe_id) == F.col("_probe"), "left")
+    name = F.coalesce(*[F.when(F.col("match_level") == i, F.lit(v.name)) for i, v in enumerate(levels, 1)])
+    review = F.coalesce(*[F.when(F.col("match_level") == i, F.lit(v.review)) for i, v in enumerate(levels, 1)], F.lit(True))
+    return joined.select(*probes.columns, "match_level", name.alias("match_name"), review.alias("needs_review"), *[F.col(f"_l_{i}").alias(c) for i, c in enumerate(ledger.columns)])
 
 
 def suffix_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str, least: int) -> DataFrame:
     """Pairs of which one key ends with the other, both at least so long.
 
-    Keys are brought together by their last least characters, then compared: an equi-join, not a nested loop.
+    Each key is exploded into its own endings, which meet the other side's whole keys: an equi-join with as many
+    rows as there are pairs, however alike the endings are.
     """
-    left = a.filter(F.length(key_a) >= least).withColumn("_end", F.right(F.col(key_a), F.lit(least)))
-    right = b.filter(F.length(key_b) >= least).withColumn("_ending", F.right(F.col(key_b), F.lit(least)))
-    on = (F.col("_end") == F.col("_ending")) & (F.endswith(F.col(key_a), F.col(key_b)) | F.endswith(F.col(key_b), F.col(key_a)))
-    return left.join(right, on).drop("_end", "_ending")
+
+    def endings(df: DataFrame, key: str) -> DataFrame:
+        n = F.length(key)
+        return df.filter(n >= least).withColumn("_end", F.explode(F.transform(F.sequence(F.lit(least), n), lambda i: F.right(F.col(key), i))))
+
+    longer = endings(a, key_a).join(b, F.col("_end") == F.col(key_b)).drop("_end")
+    shorter = a.join(endings(b, key_b), (F.col(key_a) == F.col("_end")) & (F.col(key_a) != F.col(key_b))).drop("_end")
+    return longer.unionByName(shorter)
 
 
 def substitution_neighbours(probes: DataFrame, number: str, ledger: DataFrame, ledger_number: str) -> DataFrame:
