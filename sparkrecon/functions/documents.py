@@ -255,7 +255,8 @@ def strict_notices(c: Column) -> Column:
 def distinct_ids(ids: Column) -> Column:
     """Identifiers that are different when compared, the first writing of each."""
     keyed = F.transform(ids, lambda x, i: F.struct(T.notice_key(x).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.filter(keyed, lambda a: ~F.exists(keyed, lambda b: (b["k"] == a["k"]) & (b["i"] < a["i"]))), lambda a: a["x"])
+    first = lambda xs: F.filter(xs, lambda a: ~F.exists(xs, lambda b: (b["k"] == a["k"]) & (b["i"] < a["i"])))
+    return F.transform(F.transform(F.array(keyed), first)[0], lambda a: a["x"])
 
 
 def relaxed_ids(c: Column) -> Column:
@@ -359,11 +360,10 @@ def task_number(c: Column) -> Column:
 
 def all_hits(c: Column, wanted: Sequence[rules.Rule]) -> Column:
     """array<struct<rank, ord, at, value, confidence, source>>: every match of every rule, the surest first, else in order."""
-    found = []
-    for i, rule in enumerate(wanted):
-        of = lambda x, at, i=i, rule=rule: F.struct(
-            (-F.lit(float(rule.weight)) * rules.quality(x)).alias("rank"), F.lit(i).alias("ord"), at.alias("at"), x.alias("value"),
-            (F.lit(float(rule.weight)) * rules.quality(x)).alias("confidence"), F.lit(rule.name).alias("source"),
-        )
-        found.append(F.transform(_all(c, rule.pattern, rule.group), of))
-    return F.sort_array(F.flatten(F.array(*found)))
+
+    def hits(i: int, rule: rules.Rule) -> Column:
+        sure = lambda x: F.lit(float(rule.weight)) * rules.quality(x)
+        each = lambda x, at: F.struct((-sure(x)).alias("rank"), F.lit(i).alias("ord"), at.alias("at"), x.alias("value"), sure(x).alias("confidence"), F.lit(rule.name).alias("source"))
+        return F.transform(_all(c, rule.pattern, rule.group), each)
+
+    return F.sort_array(F.flatten(F.array(*[hits(i, rule) for i, rule in enumerate(wanted)])))

@@ -14,15 +14,17 @@ def one_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def union_by_priority(sources: Sequence[DataFrame], key: str) -> DataFrame:
-    """All keys of several tables; the row of the earliest table that has it."""
-    both = None
+    """All keys of several tables; the row of the earliest table that has it (of several there, that of the least hash)."""
+    both, whole = None, F.xxhash64(*sources[0].columns)
     for i, df in enumerate(sources):
         df = df.withColumn("_from", F.lit(i))
         both = df if both is None else both.unionByName(df)
-    return one_per_key(both, [key], [F.col("_from")]).drop("_from")
+    return one_per_key(both, [key], [F.col("_from"), whole]).drop("_from")
 
 
 def insert_or_ignore(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The table with the new rows whose key it doesn't have; of new rows of one key, that of the least hash."""
+    new = one_per_key(new, [key], [F.xxhash64(*new.columns)])
     return table.unionByName(new.join(table.select(key), key, "left_anti"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.functions import rules, similarity
 from sparkrecon.functions import text as T
-from sparkrecon.operators import matching, reports, segments, tables
+from sparkrecon.operators import ladders, matching, outputs, reports, rulings, segments, tables
 from sparkrecon.streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,21 +260,20 @@ def hamming_neighbour(spark, sf_dir):
 
 @query(
     """WITH n AS (SELECT DISTINCT p_name AS name FROM part)
-       SELECT a.name AS probe, b.name AS found, levenshtein(a.name, b.name)::INT AS distance FROM n a JOIN n b ON a.name <> b.name AND left(a.name, 2) = left(b.name, 2)
+       SELECT a.name AS probe, b.name AS found, levenshtein(a.name, b.name)::INT AS distance FROM n a JOIN n b ON a.name <> b.name
        QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name) = 1"""
 )
 def fuzzy_topk(spark, sf_dir):
     names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    a, b = names.select(F.col("name").alias("probe"), F.left("name", F.lit(2)).alias("k")), names.select(F.col("name").alias("found"), F.left("name", F.lit(2)).alias("k"))
-    pairs = a.join(b, "k").filter("probe <> found").withColumn("distance", F.levenshtein("probe", "found"))
-    return segments.pick(pairs, "probe", [F.col("distance"), F.col("found")]).select("probe", "found", "distance")
+    return ladders.nearest(names, "name", names, "name")
 
 
 @query()
 def similarity_ratios(spark, sf_dir):
+    """All pairs of part names that are similar, with both ratios: SQL has no block ratio, tests hold it against brute force."""
     names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    a, b = names.select(F.col("name").alias("probe"), F.left("name", F.lit(1)).alias("k")), names.select(F.col("name").alias("found"), F.left("name", F.lit(1)).alias("k"))
-    return a.join(b, "k").select("probe", "found", similarity.block_ratio("probe", "found").alias("block_ratio"), similarity.indel_ratio("probe", "found").alias("indel_ratio"))
+    pairs = ladders.ratio_pairs(names, "name", names, "name", 0.6)
+    return pairs.select(F.col("a").alias("probe"), F.col("b").alias("found"), F.col("ratio").alias("block_ratio"), similarity.indel_ratio("a", "b").alias("indel_ratio"))
 
 
 @query(
@@ -353,7 +352,7 @@ def cache_union(spark, sf_dir):
     return tables.union_by_priority([fresh, live], "user_id")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AND false UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
 def insert_or_ignore(spark, sf_dir):
     known = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return tables.insert_or_ignore(known, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id")
@@ -404,10 +403,10 @@ def batch_rollup(spark, sf_dir):
     return _t(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n, avg((value > 10)::INT) AS success FROM events GROUP BY ALL HAVING count(*) >= 3 AND avg((value > 10)::INT) > 0.7")
+@query("SELECT user_id::VARCHAR AS original, event_type AS corrected, 0.95::DOUBLE AS confidence FROM events GROUP BY ALL HAVING count(*) >= 3 AND avg((value > 10)::INT) > 0.7")
 def rule_promotion(spark, sf_dir):
-    counted = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") > 10).cast("int")).alias("success"))
-    return counted.filter("n >= 3 and success > 0.7")
+    tried = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("original"), F.col("event_type").alias("corrected"), (F.col("value") > 10).alias("success"))
+    return rulings.learned(tried, 3, 0.7).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 @query("SELECT count(*) AS files, sum((quality = (n_chars >= 500)::INT)::INT)::BIGINT AS matched, round(avg((quality = (n_chars >= 500)::INT)::INT), 4) AS rate FROM documents JOIN labels USING (doc_id)")
@@ -438,11 +437,8 @@ REGIONS = ("EUROPE", "ASIA", "AMERICA")
 
 @query("SELECT n_name, r_name, row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'AMERICA' THEN 3 ELSE 99 END, n_name) AS position FROM nation JOIN region ON n_regionkey = r_regionkey")
 def region_rank_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, REGIONS)), F.col("r_name")), F.lit(0)), F.lit(99))
-    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("n_name", "r_name", F.row_number().over(Window.orderBy(rank, "n_name")).cast("long").alias("position"))
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", outputs.region_rank(F.col("r_name"), REGIONS).alias("rank"))
+    return outputs.numbered(rows, [F.col("rank"), F.col("n_name")], "position").select("n_name", "r_name", "position")
 
 
 @query("SELECT p_partkey, concat(lower(p_brand), '-', lpad(p_size::VARCHAR, 12, '0')) AS key FROM (SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '', 'g') AS p_brand, p_size FROM part)")

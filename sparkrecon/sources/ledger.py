@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrecon.functions import text as T
+from sparkrecon.operators.outputs import numbered
 
 
 def positional(table: DataFrame, places: Mapping[str, int], order: Column | None = None) -> DataFrame:
-    """Cells by position as stripped strings ('' for none), with row_no in the order of order."""
+    """Cells by position as stripped strings ('' for none), with order as row_no.
+
+    Give the sheet's own row number as order; without it, row_no only tells rows of one read apart.
+    """
     columns = table.columns
     cells = table.select(
         *[(T.safe_cell(F.col(f"`{columns[i]}`")) if i < len(columns) else F.lit("")).alias(name) for name, i in places.items()],
@@ -44,7 +48,7 @@ def header(table: DataFrame) -> list[tuple[str, str]]:
 
 def column_values(table: DataFrame, column: str, first: int, last: int, order: Column) -> DataFrame:
     """Values of rows first to last (from 1) that are not blank, with their row numbers."""
-    rows = table.select(T.safe_cell(F.col(column)).alias("value"), F.row_number().over(Window.orderBy(order)).alias("row"))
+    rows = numbered(table.select(T.safe_cell(F.col(column)).alias("value"), order.alias("_order")), [F.col("_order")], "row").select("value", "row")
     return rows.filter(F.col("row").between(first, last) & (F.col("value") != ""))
 
 
@@ -66,3 +70,36 @@ def text_pages(spark: SparkSession, path: str, mark: str = "\f") -> DataFrame:
 def pending(found: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
     """What the cache does not have yet."""
     return found.join(cache.select(key), key, "left_anti")
+
+
+def wide_enough(table: DataFrame, least: int) -> DataFrame:
+    """Rows with a value in the least-th column or a later one."""
+    late = table.columns[least - 1 :]
+    return table.filter(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in late]).isNotNull()) if late else table.limit(0)
+
+
+def names_between(table: DataFrame, column: str, order: Column, first: int = 1, last: int | None = None) -> DataFrame:
+    """Values of a named column that are not null, from the first to the last of them (from 1)."""
+    rows = numbered(table.filter(F.col(column).isNotNull()).select(F.trim(F.col(column).cast("string")).alias("name"), order.alias("_order")), [F.col("_order")], "row_no")
+    rows = rows.select("row_no", "name").filter(F.col("row_no") >= first)
+    return rows if last is None else rows.filter(F.col("row_no") <= last)
+
+
+def page_counts(pages: DataFrame, file: str) -> DataFrame:
+    return pages.groupBy(file).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def with_fallback(layers: DataFrame, text: Column, other: Column, least: int = 100) -> DataFrame:
+    """Add text: the text layer, or where that has under least characters the other reading, if there is one."""
+    return layers.withColumn("text", F.when(F.length(T.strip(F.coalesce(text, F.lit("")))) >= least, text).otherwise(F.coalesce(other, text)))
+
+
+def result_key(file: Column) -> Column:
+    """The name under which a file's result is found: without .pdf and without _ultra_result."""
+    return F.regexp_replace(F.regexp_replace(file, r"(?i)\.pdf$", ""), "_ultra_result$", "")
+
+
+def whole_text(pages: DataFrame, file: str, page: str, text: str) -> DataFrame:
+    """A file's pages in order under headings, in one row."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
+    return pages.groupBy(file).agg(F.array_join(F.transform(parts, lambda x: F.concat(F.lit("=== 第"), x["p"].cast("string"), F.lit("页 ===\n"), x["t"])), "\n\n").alias("full_text"))

@@ -46,3 +46,30 @@ def run_available(events: DataFrame, out: str, checkpoint: str, each: Callable[[
         each(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fingerprint(files: DataFrame) -> str:
+    """What a run's input is known by: names, sizes and times of its files. Another input has another checkpoint folder."""
+    parts = files.select(F.xxhash64("name", "cache_key").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h") % 1000003).alias("s")).first()
+    return f"{parts['n']:x}-{(parts['x'] or 0) & 0xFFFFFFFFFFFFFFFF:x}-{(parts['s'] or 0) & 0xFFFFFFFFFFFFFFFF:x}"
+
+
+def tasks(sources: DataFrame, first_no: int = 0) -> DataFrame:
+    """A pending task for each file of each kind of document (doc_type, file): id, created (its order) and attempts."""
+    return sources.select(F.concat_ws("|", "doc_type", "file").alias("task"), "doc_type", "file", (F.lit(first_no) + F.xxhash64("doc_type", "file") % 1000).alias("created"), F.lit(0).alias("attempts"), F.lit("pending").alias("state"))
+
+
+def progress(states: DataFrame) -> DataFrame:
+    """One row: tasks, how many of each state, and the share that is done or given up."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    return states.agg(
+        F.count(F.lit(1)).alias("total"), n("done").alias("done"), n("retry").alias("retry"), n("permanent").alias("permanent"), n("pending").alias("pending"),
+        F.coalesce(F.try_divide(n("done") + n("permanent"), F.count(F.lit(1))), F.lit(0.0)).alias("progress"),
+    )
+
+
+def back_filled(names: DataFrame, results: DataFrame, key: str, order: str, depleted_at: int | None = None) -> DataFrame:
+    """All names with their result's status; those after the place where the balance ran out, and those without one, failed."""
+    joined = names.join(results.select(key, "status"), key, "left")
+    cut = F.lit(False) if depleted_at is None else F.col(order) > depleted_at
+    return joined.withColumn("status", F.when(cut | F.col("status").isNull(), "failed").otherwise(F.col("status")))
