@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: This process's tables are in one folder below the shared one.
@@ -25,9 +25,10 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A table of a few numbers a row that has been written, marked for broadcast if it has at most so many rows; else a join shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 50_000, width: Column | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows and, by width (the bytes of a row's strings), bytes; else a join shuffles it."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most_bytes else df
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

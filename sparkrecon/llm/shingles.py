@@ -318,6 +318,7 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], D
     marks: (fp, n, parity) of all sets; fetch brings the whole sets of a table of fp. Only sets that sizes and parity leave are
     fetched, each once.
     """
+    marks = scratch.broadcast_if_small(marks.select("fp", "n", "parity"), width=F.length("parity") + 16)
     links, roots, sets, step = None, None, None, 0
     while True:  # each round takes a set out of every token that is still open
         part = F.col("fp").alias("part")
@@ -346,7 +347,7 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], D
             found = scratch.table(_compared(kept, sets, p, q), "links")
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
-                roots = scratch.table(components(links), "roots")
+                roots = scratch.broadcast_if_small(scratch.table(components(links), "roots"))
         met = hubs.select(F.col("_t"), F.col("hub").alias("_met"))
         members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp", "n")
         step += 1
