@@ -361,7 +361,7 @@ def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]
     own = scanned.filter("slice < 0").select("doc_id", "body", "n", "fp", "id", "parity")
     levels = bytearray(1 << BUCKET_BITS)
     width = len(levels) // SLICES
-    for row in scanned.filter("slice >= 0").groupBy("slice").applyInPandas(_summed, "slice int, levels binary").toLocalIterator():
+    for row in scanned.filter("slice >= 0").groupBy("slice").applyInPandas(_summed, "slice int, levels binary").collect():  # 4 MB whatever the input
         levels[row["slice"] * width : (row["slice"] + 1) * width] = row["levels"]
     levels = spark.sparkContext.broadcast(bytes(levels))
     ranges = max(12, int((own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (q - p) // q) >> 20))
