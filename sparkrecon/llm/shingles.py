@@ -32,8 +32,9 @@ BUCKET_BITS = 22
 SLICES = 64
 #: A token whose bucket has so many sets (as a level, four to an octave: 2^20) is dealt by set, not by token.
 HOT_LEVEL = 80
-#: Groups of which all sets are hubs at once, in the first round and later; larger ones get 64 times more hubs each round.
-SMALL_GROUP, MORE_HUBS = (4, 32), 64
+#: Groups of up to SMALL_GROUP sets have all of them as hubs in the first round, larger ones a single one; both numbers
+#: grow by MORE_HUBS each later round, the first from half of it.
+SMALL_GROUP, MORE_HUBS = 4, 64
 #: Shingles in the sets that meet a hub in one task, and sets of one task.
 TILE_SHINGLES, TILE_SETS = 1 << 21, 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -333,7 +334,7 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], D
         if open_groups.isEmpty():
             return roots if roots is not None else members.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
         hash_of = F.xxhash64(F.lit(step), "fp")
-        draw = F.when(F.col("_size") <= SMALL_GROUP[min(step, 1)], hash_of).otherwise(F.pmod(hash_of, F.lit(min(MORE_HUBS**step, 1 << 20))))
+        draw = F.when(F.col("_size") <= max(SMALL_GROUP, MORE_HUBS**step // 2), hash_of).otherwise(F.pmod(hash_of, F.lit(min(MORE_HUBS**step, 1 << 20))))
         hubs = open_groups.filter("part <> _top").groupBy(F.col("t").alias("_t"), draw.alias("_draw")).agg(F.min(F.struct("fp", "n", "part")).alias("_hub"))
         hubs = hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.n").alias("_n"), F.col("_hub.part").alias("_part"))
         near = (F.col("t") == F.col("_t")) & (F.col("part") != F.col("_part")) & (q * F.least("n", "_n") >= p * F.greatest("n", "_n"))
