@@ -13,21 +13,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round maps every node to the least of itself and its neighbours and keeps the edges between different
     images, so a star vanishes in one round and other shapes shrink fast. What a round maps is written to the shared
-    folder; at the end the rounds are composed, last to first. edges should be a written table: it is read twice. Loops and repeated edges do no harm, null
-    ends are left out.
+    folder; at the end the rounds are composed, last to first. edges should be a written table: it is read three times.
+    Loops and repeated edges do no harm, null ends are left out.
     """
     kept = edges.select("a", "b").filter("a is not null and b is not null")
     left = kept.filter("a <> b")
     nodes = kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct()
     rounds: list[DataFrame] = []
-    while not left.isEmpty():
+    while n := left.count():
         both = left.union(left.select("b", "a"))
         image = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b"))
         image = scratch.table(image.select("node", F.least("node", "_b").alias("root")), "images")
         rounds.append(image)
         ends = left.join(image, left["a"] == image["node"]).select(F.col("root").alias("a"), "b")
         ends = ends.join(image, ends["b"] == image["node"]).select("a", F.col("root").alias("b"))
-        left = scratch.table(ends.filter("a <> b").distinct(), "edges")
+        left = scratch.table(ends.filter("a <> b").distinct(), "edges", n)
     roots = None
     for image in reversed(rounds):
         if roots is None:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that one task writes at least, where a bound on a table's rows is known, and the tasks that even a small one gets.
+TASK_ROWS, LEAST_TASKS = 1 << 16, 24
 #: This process's tables are in one folder below the shared one.
 RUN = f"run-{uuid.uuid4().hex}"
 
@@ -31,14 +33,19 @@ def broadcast_if_small(df: DataFrame, rows: int = 50_000, width: Column | None =
     return F.broadcast(df) if n <= rows and size <= most_bytes else df
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df once to the shared folder as Parquet and read it back.
 
+    rows, where known, bounds its rows (or, with heavier rows, the work in units of one): partitions of a last shuffle
+    that would be nearly empty are then taken together, so that a small table of a loop is not hundreds of tasks and files.
+
     Later jobs read the files, so a lost executor never recomputes what came before, and a join over the
     result is a join over a scan, which adaptive execution can broadcast (by measured size) or split (by skew).
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, rows // TASK_ROWS))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

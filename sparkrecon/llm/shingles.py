@@ -35,6 +35,8 @@ HOT_LEVEL = 80
 #: Groups of up to SMALL_GROUP sets have all of them as hubs in the first round, larger ones a single one; both numbers
 #: grow by MORE_HUBS each later round, the first from half of it.
 SMALL_GROUP, MORE_HUBS = 4, 64
+#: A whole set counts as so many rows where tasks are told how much they write.
+SET_ROWS = 16
 #: Shingles in the sets that meet a hub in one task, and sets of one task.
 TILE_SHINGLES, TILE_SETS = 1 << 21, 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -313,14 +315,14 @@ def _compared(kept: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return hubs.groupBy("hub", "tile").cogroup(others.groupBy("hub", "tile")).applyInPandas(_verified(p, q), "a binary, b binary")
 
 
-def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], DataFrame], p: int, q: int) -> DataFrame:
+def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], p: int, q: int) -> DataFrame:
     """From members (t, fp, n) of tokens, each set's (node, root) by links of the similarity: rounds of hubs, as above.
 
-    marks: (fp, n, parity) of all sets; fetch brings the whole sets of a table of fp. Only sets that sizes and parity leave are
+    marks: (fp, n, parity) of all sets; fetch brings the whole sets of a table of fp, of so many at most. Only sets that sizes and parity leave are
     fetched, each once.
     """
     marks = scratch.broadcast_if_small(marks.select("fp", "n", "parity"), width=F.length("parity") + 16)
-    links, roots, sets, step = None, None, None, 0
+    links, roots, sets, step, n_open = None, None, None, 0, members.count()
     while True:  # each round takes a set out of every token that is still open
         part = F.col("fp").alias("part")
         if roots is not None:
@@ -330,8 +332,9 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], D
         parts = members.groupBy("t", "part").agg(F.count(F.lit(1)).alias("_n"))
         parts = parts.groupBy(F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_size"), F.max_by("part", F.struct("_n", "part")).alias("_top"))
         parts = parts.filter("_parts > 1")
-        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "n", "part", "_top", "_size"), "open-groups")
-        if open_groups.isEmpty():
+        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "n", "part", "_top", "_size"), "open-groups", n_open)
+        n_open = open_groups.count()
+        if not n_open:
             return roots if roots is not None else members.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
         hash_of = F.xxhash64(F.lit(step), "fp")
         draw = F.when(F.col("_size") <= max(SMALL_GROUP, MORE_HUBS**step // 2), hash_of).otherwise(F.pmod(hash_of, F.lit(min(MORE_HUBS**step, 1 << 20))))
@@ -339,16 +342,17 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame], D
         hubs = hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.n").alias("_n"), F.col("_hub.part").alias("_part"))
         near = (F.col("t") == F.col("_t")) & (F.col("part") != F.col("_part")) & (q * F.least("n", "_n") >= p * F.greatest("n", "_n"))
         pairs = hubs.join(open_groups, near).select(F.least("hub", "fp").alias("hub"), F.greatest("hub", "fp").alias("fp")).distinct()
-        kept = scratch.table(_near(pairs, marks, p, q), "passed")
-        if not kept.isEmpty():
+        most_hubs = max(SMALL_GROUP, MORE_HUBS**step)  # of a group
+        kept = scratch.table(_near(pairs, marks, p, q), "passed", n_open * most_hubs)
+        if n_kept := kept.count():
             wanted = kept.select("fp").union(kept.select("hub")).distinct()
             wanted = wanted if sets is None else wanted.join(sets.select(F.col("fp").alias("_had")), F.col("fp") == F.col("_had"), "left_anti")
-            fetched = fetch(wanted)
+            fetched = fetch(wanted, 2 * n_kept)
             sets = fetched if sets is None else sets.unionByName(fetched)
-            found = scratch.table(_compared(kept, sets, p, q), "links")
+            found = scratch.table(_compared(kept, sets, p, q), "links", SET_ROWS * n_kept)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
-                roots = scratch.broadcast_if_small(scratch.table(components(links), "roots"))
+                roots = scratch.broadcast_if_small(scratch.table(components(links), "roots", 2 * links.count()))
         met = hubs.select(F.col("_t"), F.col("hub").alias("_met"))
         members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp", "n")
         step += 1
@@ -376,13 +380,13 @@ def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]
     marks = own.filter("fp is not null").groupBy("fp", "id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("body").alias("body"))
     marks = scratch.table(marks.join(ids, F.col("id") == F.col("_id"), "left_semi"), "marks")
 
-    def fetch(fps: DataFrame) -> DataFrame:
+    def fetch(fps: DataFrame, most: int) -> DataFrame:
         """Whole sets, from a text of each: only texts whose hash may be wanted are cut into shingles again."""
         fps = fps.select(F.col("fp").alias("_fp"))
-        bodies = scratch.table(marks.join(fps, F.col("fp") == F.col("_fp"), "left_semi").select("body"), "bodies")
+        bodies = scratch.table(marks.join(fps, F.col("fp") == F.col("_fp"), "left_semi").select("body"), "bodies", most)
         wanted = filters.flagged(docs, F.col("body"), bodies, "_maybe").filter("_maybe").select("text")
         sets = wanted.mapInPandas(_sets(k, p, q, levels), "fp binary, rest binary, members binary")
-        return scratch.table(sets.dropDuplicates(["fp"]), "whole-sets")
+        return scratch.table(sets.dropDuplicates(["fp"]), "whole-sets", SET_ROWS * most)
 
     members = shared.join(marks.select(F.col("id").alias("_id"), "fp", "n"), F.col("id") == F.col("_id")).select("t", "fp", "n")
     return own, _linked(scratch.table(members, "members"), marks, fetch, p, q)
