@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import embeddings, lm, mixing, oracle, packing, quality, quotes, shingles, templates, text, tokens, toxicity
+from sparkrecon.llm import embeddings, licenses, lm, mixing, oracle, packing, quality, quotes, repair, shingles, spelling, templates, text, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", "source", packing.same_words(F.col("text")).alias("cluster"), text.n_words(F.col("text")).alias("size")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return spelling.variants(spelling.damaged_words(docs))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", *[c for c in licenses.ADDED if c != "spans"])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair.repaired(repair.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -76,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quotation_links": op9_quotation_links,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_license_scan": op12_license_scan,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -86,4 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_templates": oracle.TEMPLATES,
         "op6_embedding_near_duplicates": oracle.EMBEDDINGS,
         "op8_jaccard_join": oracle.JACCARD,
+        "op11_spelling_variants": oracle.SPELLING,
+        "op13_conversation_repair": oracle.REPAIR,
     }
