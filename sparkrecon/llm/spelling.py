@@ -42,81 +42,82 @@ def trie(words: list[str], counts: list[int]) -> tuple:
     return words, counts, "".join(labels), first, word
 
 
-def neighbours(w: str, shard: tuple) -> list[int]:
-    """Numbers of the shard's words that are one insertion, deletion or replacement away from w.
+class Descent:
+    """The shard's words that are one insertion, deletion or replacement away from a word, for words in sorted order.
 
-    The automaton of w goes down the trie depth-first. While nothing differs there is one state a depth. After the edit
-    up to three places in w are open, the last read character being inserted (place depth - 1), a replacement (depth)
-    or following a deletion (depth + 1); a branch ends when none fits.
+    The word's automaton goes down the trie depth-first. While nothing differs one node is open a depth (exact). After the
+    edit up to three places in the word are: the last read character was inserted (place depth - 1, flag 1), it is a
+    replacement (depth, 2), or follows a deletion (depth + 1, 4). side[d] has the nodes at depth d with their flags; it
+    depends on the first d + 1 characters only, so words that begin alike share the descent. Any order gives the same.
     """
-    words, _, labels, first, word = shard
-    m, found, stack = len(w), [], []
-    node, depth = 0, 0
-    while node >= 0:
-        low, high = first[node], first[node + 1]
-        if (own := word[node]) >= 0:
-            if low == high:  # alone: the rest of the word is compared at once
-                v = words[own]
-                rest = v[depth:]
-                at = 0
-                short = min(len(rest), m - depth)
-                while at < short and rest[at] == w[depth + at]:
-                    at += 1
-                a, b = rest[at:], w[depth + at :]
-                if (a and a[1:] == b) or (b and a == b[1:]) or (a and b and a[1:] == b[1:] and a != b):
-                    found.append(own)
-                break
-            if depth == m - 1:
-                found.append(own)
-        same, here = -1, w[depth] if depth < m else ""
-        skip = w[depth + 1] if depth + 1 < m else ""
-        for k in range(low, high):
-            c = labels[k]
-            if c == here:
-                same = k
-            else:
-                stack.append((k, depth + 1, True, bool(here), c == skip))
-        node, depth = same, depth + 1
-    while stack:
-        node, depth, more, other, less = stack.pop()
-        low, high = first[node], first[node + 1]
-        if (own := word[node]) >= 0:
-            if low == high:
-                rest = words[own][depth:]
-                if (more and rest == w[depth - 1 :]) or (other and rest == w[depth:]) or (less and rest == w[depth + 1 :]):
-                    found.append(own)
-                continue
-            if (more and depth - 1 == m) or (other and depth == m) or (less and depth + 1 == m):
-                found.append(own)
-        c1 = w[depth - 1] if more and depth - 1 < m else ""
-        c2 = w[depth] if other and depth < m else ""
-        c3 = w[depth + 1] if less and depth + 1 < m else ""
-        for c in {c1, c2, c3}:
-            if c and (k := labels.find(c, low, high)) >= 0:
-                stack.append((k, depth + 1, c == c1, c == c2, c == c3))
-    return found
-
-
-class Shards:
-    """A round's shards, with what the first two characters of their words rule out."""
-
-    def __init__(self, bodies: list[bytes]):
-        self.shards = [pickle.loads(b) for b in bodies]
-        self.known: dict[str, list[tuple]] = {}
-        self.pairs = []
-        for s in self.shards:
-            pairs = {v[:2] for v in s[0]}
-            self.pairs.append((any(len(p) < 2 for p in pairs), {p[:1] for p in pairs}, {p[1:] for p in pairs}, pairs))
-
-    def of(self, w: str) -> list[tuple]:
-        """Shards in which the automaton of w lives beyond the second character. Kept for beginnings of three characters."""
-        key = w[:3]
-        if key not in self.known:
-            fits = lambda short, one, two, pairs: short or len(key) < 3 or key[0] in one or key[0] in two or key[1] in two or key[1:3] in pairs
-            if len(self.known) >= 1 << 16:
-                self.known.clear()
-            self.known[key] = [s for s, p in zip(self.shards, self.pairs, strict=True) if fits(*p)]
-        return self.known[key]
+
+    def __init__(self, shard: tuple):
+        self.words, self.counts, self.labels, self.first, self.word = shard
+        self.exact: list[int] = [0]
+        self.side: list[list[tuple[int, int]]] = [[]]
+
+    def near(self, w: str, alike: int) -> list[int]:
+        """Numbers of the words near w; alike: how many characters w begins with that the word before began with."""
+        words, labels, first, word, exact, side = self.words, self.labels, self.first, self.word, self.exact, self.side
+        m, d = len(w), min(len(exact), max(alike, 1)) - 1
+        if exact[d] < 0 and not side[d]:
+            return []
+        del exact[d + 1 :], side[d + 1 :]
+        while d <= m and (exact[d] >= 0 or side[d]):
+            c1, c2, c3 = w[d - 1] if d else "", w[d] if d < m else "", w[d + 1] if d + 1 < m else ""
+            new, same, ways = [], -1, {}
+            for node, flags in side[d]:
+                low, high = first[node], first[node + 1]
+                if low == high:  # alone: its characters are read one by one
+                    v = words[word[node]]
+                    if len(v) > d:
+                        c = v[d]
+                        if open_ := (flags & 1 if c == c1 else 0) | (flags & 2 if c == c2 else 0) | (flags & 4 if c == c3 else 0):
+                            new.append((node, open_))
+                    continue
+                if flags not in ways:
+                    by: dict[str, int] = {}
+                    for flag, c in ((1, c1), (2, c2), (4, c3)):
+                        if flags & flag and c:
+                            by[c] = by.get(c, 0) | flag
+                    ways[flags] = list(by.items())
+                for c, open_ in ways[flags]:
+                    if (k := labels.find(c, low, high)) >= 0:
+                        new.append((k, open_))
+            if (node := exact[d]) >= 0:
+                low, high = first[node], first[node + 1]
+                base = 3 if c2 else 1
+                if low == high:
+                    v = words[word[node]]
+                    if len(v) > d:
+                        c = v[d]
+                        if c == c2:
+                            same = node
+                        else:
+                            new.append((node, base | (4 if c == c3 else 0)))
+                for k in range(low, high):
+                    c = labels[k]
+                    if c == c2:
+                        same = k
+                    else:
+                        new.append((k, base | (4 if c == c3 else 0)))
+            exact.append(same)
+            side.append(new)
+            d += 1
+        found = []
+        for at, flag in ((m - 1, 4), (m, 2), (m + 1, 1)):
+            if 0 <= at < len(side):
+                nodes = [n for n, flags in side[at] if flags & flag]
+                if flag == 4 and exact[at] >= 0:
+                    nodes.append(exact[at])
+                found += [word[n] for n in nodes if word[n] >= 0 and len(words[word[n]]) == at]
+        return found
+
+
+def alike(a: str, b: str) -> int:
+    """How many characters two words begin with in common."""
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def variants(counted: DataFrame, least_ratio: int = 10) -> DataFrame:
     and null or negative counts are left out; an empty table gives an empty one; other columns are not carried.
 
     The words are sorted by ranges into trie shards of bounded size. Shards are broadcast in rounds of bounded size; in
-    each round every word meets every shard, and only its count and best form of the round leave the task.
+    each round every word meets every shard, in sorted order, and only its count and best form of the round leave the task.
     """
     spark = counted.sparkSession
     words = scratch.table(counted.filter("word is not null and n >= 0").select("word", F.col("n").cast("long").alias("n")), "words")
@@ -169,22 +170,24 @@ def variants(counted: DataFrame, least_ratio: int = 10) -> DataFrame:
         held_here = spark.sparkContext.broadcast([bytes(r["body"]) for r in shards.filter(F.col("first").between(lo, hi)).select("body").collect()])
 
         def meet(batches: Iterator[pa.RecordBatch], held_here=held_here) -> Iterator[pa.RecordBatch]:
-            shards = Shards(held_here.value)
+            shards = [Descent(pickle.loads(b)) for b in held_here.value]
+            before = ""
             for batch in batches:
                 near, best, best_word = [], [], []
                 for w in batch.column("word").to_pylist():
-                    total, top = 0, (1, None)
-                    for s in shards.of(w):
-                        ids = neighbours(w, s)
+                    total, top, common = 0, (1, None), alike(before, w)
+                    before = w
+                    for s in shards:
+                        ids = s.near(w, common)
                         total += len(ids)
                         if ids:
-                            top = min(top, min((-s[1][i], s[0][i]) for i in ids))
+                            top = min(top, min((-s.counts[i], s.words[i]) for i in ids))
                     near.append(total)
                     best.append(-top[0] if total else None)
                     best_word.append(top[1])
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(near, pa.int64()), pa.array(best, pa.int64()), pa.array(best_word, pa.string())], schema=kind)
 
-        met = words.repartition(tasks, "word").mapInArrow(meet, "word string, n long, n_near long, best long, best_word string")
+        met = words.repartitionByRange(tasks, "word").sortWithinPartitions("word").mapInArrow(meet, "word string, n long, n_near long, best long, best_word string")
         met = scratch.table(met, "near")
         held_here.unpersist()
         found = met if found is None else found.unionByName(met)

@@ -1,8 +1,7 @@
-import pickle
 import random
+import re
 import zlib
 from collections import Counter
-import re
 
 from sparkrecon.llm import registry, spelling
 
@@ -37,9 +36,11 @@ def test_automaton_against_brute_force():
     random.seed(1)
     for letters in ("ab", "abcé") * 300:
         words = sorted({"".join(random.choices(letters, k=random.randint(0, 5))) for _ in range(random.randint(1, 40))})
-        shards = spelling.Shards([pickle.dumps(spelling.trie(part, [1] * len(part))) for part in (words[: len(words) // 2], words[len(words) // 2 :]) if part])
+        shards = [spelling.Descent(spelling.trie(part, [1] * len(part))) for part in (words[: len(words) // 2], words[len(words) // 2 :]) if part]
+        before = ""
         for w in [*words, *("".join(random.choices(letters, k=random.randint(0, 6))) for _ in range(5))]:
-            found = [s[0][i] for s in shards.of(w) for i in spelling.neighbours(w, s)]
+            common, before = spelling.alike(before, w), w
+            found = [s.words[i] for s in shards for i in s.near(w, common)]
             assert sorted(found) == [v for v in words if one_apart(w, v)]
 
 
