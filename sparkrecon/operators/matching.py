@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrecon.operators.store import written
+
 
 @dataclass(frozen=True)
 class Level:
@@ -102,22 +104,51 @@ def cascade(matches: DataFrame, probe_id: str, by_id: Column, by_name: Column, b
     return matches.withColumn("_keep", keep).filter("_keep").drop("_keep")
 
 
-def assign_one_to_one(pairs: DataFrame, group: str, probe: str, target: str, order: Sequence[Column]) -> DataFrame:
-    """Greedy: within a group, probes in order take their best free target. Groups must be of bounded size (a file's pages)."""
-    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+#: Pairs of a group that one task may settle at once; larger groups go on in rounds.
+SMALL_GROUP = 10_000
+
+
+def assign_one_to_one(pairs: DataFrame, group: str, probe: str, target: str, order: Sequence[Column], small: int = SMALL_GROUP) -> DataFrame:
+    """Greedy: within a group, pairs are taken in (ascending) order if both ends are free. Ties go by probe, then target; null ends match nothing.
 
-    def assign(rows):
+    A pair that comes first both for its probe and for its target is taken in any case: each round takes all such pairs
+    and drops those that meet them, which leaves what the greedy walk leaves. Groups of at most small pairs end in one
+    task each; no larger group ever meets in one. Of equal pairs one is kept.
+    """
+    columns = pairs.columns
+    rest = pairs.dropna(subset=[probe, target]).withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(probe).alias("p"), F.col(target).alias("t")))
+    one = F.row_number().over(Window.partitionBy(group, probe, target).orderBy("_o"))
+    rest = written(rest.withColumn("_r", one).filter("_r = 1").drop("_r"))
+    taken = None
+
+    def settle(rows):
         used_probe, used_target, keep = set(), set(), []
-        rows = rows.sort_values("_rank")
         for p, t in zip(rows[probe], rows[target], strict=True):
             free = p not in used_probe and t not in used_target
             keep.append(free)
             if free:
                 used_probe.add(p)
                 used_target.add(t)
-        return rows[keep].drop(columns="_rank")
-
-    return ranked.groupBy(group).applyInPandas(assign, pairs.schema)
+        return rows[keep][columns]
+
+    while True:
+        sizes = written(rest.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")))
+        same = F.col(group).eqNullSafe(F.col("_g"))
+        few = rest.join(sizes.filter(F.col("_n") <= small), same).drop("_g", "_n")
+        rank = F.row_number().over(Window.partitionBy(group).orderBy("_o"))
+        done = few.withColumn("_r", rank).drop("_o").groupBy(group).applyInPandas(lambda rows: settle(rows.sort_values("_r")), pairs.schema)
+        if sizes.filter(F.col("_n") > small).isEmpty():
+            return done if taken is None else taken.unionByName(done)
+        done = written(done)
+        taken = done if taken is None else taken.unionByName(done)
+        many = rest.join(sizes.filter(F.col("_n") > small), same).drop("_g", "_n")
+        first = lambda by, k: many.groupBy(F.col(group).alias(f"_g{k}"), F.col(by).alias(f"_{k}")).agg(F.min("_o").alias(f"_o{k}"))  # noqa: B023, E731
+        on = lambda by, k: F.col(group).eqNullSafe(F.col(f"_g{k}")) & (F.col(by) == F.col(f"_{k}"))
+        best = many.join(first(probe, "p"), on(probe, "p")).join(first(target, "t"), on(target, "t")).filter((F.col("_o") == F.col("_op")) & (F.col("_o") == F.col("_ot")))
+        best = written(best.select(*columns))
+        taken = taken.unionByName(best)
+        used = lambda by, k: best.select(F.col(group).alias(f"_g{k}"), F.col(by).alias(f"_{k}"))  # noqa: B023, E731
+        rest = written(many.join(used(probe, "p"), on(probe, "p"), "left_anti").join(used(target, "t"), on(target, "t"), "left_anti"))
 
 
 def positional_fill(left: DataFrame, right: DataFrame, left_order: Sequence[Column], right_order: Sequence[Column], group: str) -> DataFrame:

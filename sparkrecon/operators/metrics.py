@@ -61,11 +61,14 @@ def company_metrics(pages: DataFrame, file: str, text: str, words: Sequence[str]
     return rows.withColumn("page_count_match", F.col("n_pages") == F.col("_expected") * per).withColumn("status", F.when(F.col("keyword_found"), "PASS").otherwise("WARNING")).drop("_expected")
 
 
-def input_check(files: DataFrame, expected: Column, pages_per_case: dict[str, int]) -> DataFrame:
-    """A row a kind of document (doc_type, file, pages): files, pages, cases that these make, and OK, WARN or missing."""
-    per = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in pages_per_case.items() for x in kv]), F.col("doc_type")), F.lit(1)) if pages_per_case else F.lit(1)
+def input_check(files: DataFrame, expected: Column, pages_per_case: DataFrame) -> DataFrame:
+    """A row a kind of document (doc_type, file, pages): files, pages, cases that these make, and OK, WARN or missing.
+
+    pages_per_case: doc_type, per; kinds that it lacks have one page a case.
+    """
     kinds = files.groupBy("doc_type").agg(F.count("file").alias("files"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))
-    kinds = kinds.withColumn("cases", F.floor(F.col("pages") / per))
+    kinds = kinds.join(pages_per_case.select(F.col("doc_type").alias("_kind"), F.col("per").alias("_per")), F.col("doc_type") == F.col("_kind"), "left")
+    kinds = kinds.withColumn("cases", F.floor(F.col("pages") / F.coalesce("_per", F.lit(1)))).drop("_kind", "_per")
     return kinds.withColumn("status", F.when(F.col("files") == 0, "missing").when(F.col("cases") == expected, "OK").otherwise("WARN"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.functions import rules, similarity
 from sparkrecon.functions import text as T
-from sparkrecon.operators import ladders, matching, outputs, reports, rulings, segments, tables
+from sparkrecon.operators import ladders, matching, outputs, patterns, reports, rulings, segments, tables
 from sparkrecon.streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,10 +280,11 @@ def similarity_ratios(spark, sf_dir):
     """SELECT r_name, count(n_name) AS files FROM region LEFT JOIN nation ON contains(lower(n_name), lower(left(r_name, 2))) GROUP BY r_name"""
 )
 def keyword_files(spark, sf_dir):
-    """Names against keywords by what they contain: the keyword table is a short list that a user typed, five rows here."""
-    words, names = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
-    joined = words.join(names, F.contains(F.lower("n_name"), F.lower(F.left("r_name", F.lit(2)))), "left")
-    return joined.groupBy("r_name").agg(F.count("n_name").alias("files"))
+    """Names against keywords by what they contain; keywords without a file stay."""
+    words = _t(spark, sf_dir, "region").select("r_name", F.lower(F.left("r_name", F.lit(2))).alias("word"))
+    names = _t(spark, sf_dir, "nation").select("n_name", F.lower("n_name").alias("lower"))
+    held = patterns.contained(names, "n_name", "lower", words, "word")
+    return words.join(held, "word", "left").groupBy("r_name").agg(F.count("key").alias("files"))
 
 
 @query(

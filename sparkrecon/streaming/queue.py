@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrecon.operators.outputs import numbered
+from sparkrecon.operators.store import written
+
 
 def states(attempts: DataFrame, task: str, order: str, result: str, failed: str, done: str, most: int) -> DataFrame:
     """Each task's attempts, last result and state: done, retry, permanent (failed over most times) or pending."""
@@ -54,9 +57,10 @@ def fingerprint(files: DataFrame) -> str:
     return f"{parts['n']:x}-{(parts['x'] or 0) & 0xFFFFFFFFFFFFFFFF:x}-{(parts['s'] or 0) & 0xFFFFFFFFFFFFFFFF:x}"
 
 
-def tasks(sources: DataFrame, first_no: int = 0) -> DataFrame:
-    """A pending task for each file of each kind of document (doc_type, file): id, created (its order) and attempts."""
-    return sources.select(F.concat_ws("|", "doc_type", "file").alias("task"), "doc_type", "file", (F.lit(first_no) + F.xxhash64("doc_type", "file") % 1000).alias("created"), F.lit(0).alias("attempts"), F.lit("pending").alias("state"))
+def tasks(sources: DataFrame, order: Sequence[Column], first_no: int = 1) -> DataFrame:
+    """A pending task for each file of each kind of document (doc_type, file): id, created (its place in order, which should be total), attempts and state."""
+    rows = numbered(sources, order, "created")
+    return rows.select(F.concat_ws("|", "doc_type", "file").alias("task"), "doc_type", "file", (F.col("created") + first_no - 1).alias("created"), F.lit(0).alias("attempts"), F.lit("pending").alias("state"))
 
 
 def progress(states: DataFrame) -> DataFrame:
@@ -68,8 +72,16 @@ def progress(states: DataFrame) -> DataFrame:
     )
 
 
-def back_filled(names: DataFrame, results: DataFrame, key: str, order: str, depleted_at: int | None = None) -> DataFrame:
-    """All names with their result's status; those after the place where the balance ran out, and those without one, failed."""
-    joined = names.join(results.select(key, "status"), key, "left")
-    cut = F.lit(False) if depleted_at is None else F.col(order) > depleted_at
-    return joined.withColumn("status", F.when(cut | F.col("status").isNull(), "failed").otherwise(F.col("status")))
+def back_filled(names: DataFrame, results: DataFrame, key: str, order: str, window: int = 1) -> DataFrame:
+    """All names with their result's status and error; those that a run that ends with its balance has not asked for are failed.
+
+    names (key, order, ...): the order in which they are asked for, unique; results (key, status, error), a row a key, error
+    depleted where the balance had run out. Names are asked for in a sliding window: when the first depleted answer comes,
+    the window - 1 names after it are under way, and keep what came of them. Later ones, and those without a result, are
+    failed (not queried). Places are numbered over ranges of the order, and the cut is a minimum over them: no task sees all.
+    """
+    placed = numbered(names, [F.col(order)], "_place")
+    joined = written(placed.join(results.select(F.col(key).alias("_key"), "status", "error"), F.col(key) == F.col("_key"), "left"))
+    cut = joined.agg(F.min(F.when(F.col("error") == "depleted", F.col("_place")))).first()[0]
+    asked = F.col("status").isNotNull() & (F.lit(True) if cut is None else F.col("_place") < cut + window)
+    return joined.select(*names.columns, F.when(asked, F.col("status")).otherwise("failed").alias("status"), F.when(asked, F.col("error")).otherwise("not queried").alias("error"))
