@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkrecon.llm import carry, mixing, packing, quality, scratch, shingles, templates, text
 
-#: What the stages work on; a document's other columns are carried along whatever their names.
+#: What a stage works on; a document's other columns are carried along whatever their names.
 NEEDED = ["doc_id", "source", "text"]
+TEXT = ["doc_id", "text"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of templates in over 20 texts, at any size; of 50 words or more, in over one."""
-    return _as_documents(templates.drop_templates(carry.packed(docs, NEEDED), least=20, long_words=50, variable=True, hollow=0.5), docs)
+    return _as_documents(templates.drop_templates(carry.packed(docs, TEXT), least=20, long_words=50, variable=True, hollow=0.5), docs, TEXT)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs.select("doc_id", "source", packing.same_words(F.col("text")).alias("cluster"), text.n_words(F.col("text")).alias("size")))
 
 
-def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _as_documents(rows: DataFrame, docs: DataFrame, needed: list[str] = NEEDED) -> DataFrame:
     """The columns of documents, n_chars as the text now has."""
-    rows = carry.unpacked(rows, docs, NEEDED, [])
+    rows = carry.unpacked(rows, docs, needed, [])
     return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
