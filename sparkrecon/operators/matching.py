@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrecon.operators.outputs import numbered
 from sparkrecon.operators.store import written
 
 
@@ -109,14 +110,14 @@ SMALL_GROUP = 10_000
 
 
 def assign_one_to_one(pairs: DataFrame, group: str, probe: str, target: str, order: Sequence[Column], small: int = SMALL_GROUP) -> DataFrame:
-    """Greedy: within a group, pairs are taken in (ascending) order if both ends are free. Ties go by probe, then target; null ends match nothing.
+    """Greedy: within a group, pairs are taken in order if both ends are free. Ties go by probe, then target; null ends match nothing.
 
     A pair that comes first both for its probe and for its target is taken in any case: each round takes all such pairs
     and drops those that meet them, which leaves what the greedy walk leaves. Groups of at most small pairs end in one
     task each; no larger group ever meets in one. Of equal pairs one is kept.
     """
     columns = pairs.columns
-    rest = pairs.dropna(subset=[probe, target]).withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(probe).alias("p"), F.col(target).alias("t")))
+    rest = numbered(pairs.dropna(subset=[probe, target]), [F.col(group), *order, F.col(probe), F.col(target)], "_o")
     one = F.row_number().over(Window.partitionBy(group, probe, target).orderBy("_o"))
     rest = written(rest.withColumn("_r", one).filter("_r = 1").drop("_r"))
     taken = None
@@ -135,8 +136,7 @@ def assign_one_to_one(pairs: DataFrame, group: str, probe: str, target: str, ord
         sizes = written(rest.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")))
         same = F.col(group).eqNullSafe(F.col("_g"))
         few = rest.join(sizes.filter(F.col("_n") <= small), same).drop("_g", "_n")
-        rank = F.row_number().over(Window.partitionBy(group).orderBy("_o"))
-        done = few.withColumn("_r", rank).drop("_o").groupBy(group).applyInPandas(lambda rows: settle(rows.sort_values("_r")), pairs.schema)
+        done = few.groupBy(group).applyInPandas(lambda rows: settle(rows.sort_values("_o")), pairs.schema)
         if sizes.filter(F.col("_n") > small).isEmpty():
             return done if taken is None else taken.unionByName(done)
         done = written(done)

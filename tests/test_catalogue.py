@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sparkrecon.plans import catalogue, flows  # noqa: F401
+from sparkrecon.plans import catalogue, flows, readings  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -80,5 +80,9 @@ def test_fingerprint_and_progress(spark):
     files = spark.createDataFrame([("a", "a|1|2"), ("b", "b|1|2")], "name string, cache_key string")
     assert queue.fingerprint(files) == queue.fingerprint(files.orderBy(F.col("name").desc())) != queue.fingerprint(files.limit(1))
     names = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, row_no int")
-    done = spark.createDataFrame([("a", "success"), ("c", "success")], "name string, status string")
-    assert sorted((r.name, r.status) for r in queue.back_filled(names, done, "name", "row_no", 2).collect()) == [("a", "success"), ("b", "failed"), ("c", "failed")]
+    done = spark.createDataFrame([("a", "success", ""), ("b", "failed", "depleted"), ("c", "success", "")], "name string, status string, error string")
+    back = lambda results, window: sorted((r.name, r.status, r.error) for r in queue.back_filled(names, results, "name", "row_no", window).collect())
+    assert back(done, 1) == [("a", "success", ""), ("b", "failed", "depleted"), ("c", "failed", "not queried")]
+    assert back(done, 2)[2] == ("c", "success", "") and back(done.filter("name = 'a'"), 1)[2] == ("c", "failed", "not queried")
+    made = queue.tasks(spark.createDataFrame([("所函", "10.pdf", 2), ("所函", "9.pdf", 1)], "doc_type string, file string, at int"), [F.col("at")])
+    assert sorted((r.created, r.task, r.state) for r in made.collect()) == [(1, "所函|9.pdf", "pending"), (2, "所函|10.pdf", "pending")]
