@@ -4,9 +4,10 @@ A document's set holds the 64-bit hashes of its k-word shingles. Equal sets are
 similarity reaches p/q share, under every order of all shingles, one of their first s - ceil(s p/q) + 1 shingles
 (s: the size of the set). Three orders are used; each puts shingles of rare buckets first, and they differ in
 how they order shingles of equally rare buckets. The first order's prefixes bring sets together: of their tokens,
-only those that two sets share are kept, with the sets' ids alone. What must agree besides is kept once a set: the size
-and a parity bitmap of the whole set (a lower bound of the symmetric difference), and of the sets that these leave, the
-other two prefixes.
+only those that two sets share are kept, with the sets' ids alone. What must agree besides goes with a set to its tokens' groups, where a
+pair is made only if all of it does: a filter of each other order's prefix, the size without the tokens of the prefix that
+no other prefix has, and a parity bitmap of the whole set (a lower bound of the symmetric difference), of 512 bits there
+and of two to four bits a member in a second pass.
 
 The sets that share a token are then compared in rounds. In a round, each token whose sets are not linked yet names a
 few hubs, none from its largest linked part; they are compared with its other sets outside their own part: filters
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrecon.llm import carry, filters, scratch
@@ -39,6 +40,9 @@ SMALL_GROUP, MORE_HUBS = 4, 64
 SET_ROWS = 16
 #: Shingles in the sets that meet a hub in one task, and sets of one task.
 TILE_SHINGLES, TILE_SETS = 1 << 21, 512
+#: What a set carries to the tokens' groups: 64-bit words of a parity bitmap of 512 bits, and of the filters of two orders,
+#: and where the first order's prefix ends.
+NARROW, ORDERS, LAST = [f"w{i}" for i in range(8)], [f"o{i}" for i in range(4)], "last"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -102,9 +106,10 @@ def _scan(k: int):
                 waiting.clear()
 
         for batch in batches:
-            sizes, prints, parity = [], [], []
-            for text in batch["text"]:
+            sizes, prints, parity, narrow = [], [], [], np.zeros((len(batch), 8), dtype=np.int64)
+            for i, text in enumerate(batch["text"]):
                 s = hasher.shingles(text)
+                narrow[i] = _parity(s, 9).view(np.int64)
                 waiting.append(_buckets(s))
                 held += len(s)
                 if held > 1 << 21:
@@ -113,11 +118,11 @@ def _scan(k: int):
                 sizes.append(len(s))
                 prints.append(fingerprint(s))
                 parity.append(_parity(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "body": batch["body"].astype("Int64"), "n": sizes, "fp": prints, "parity": parity, "id": pd.array([x and set_id(x) for x in prints], dtype="Int64"), "slice": -1, "counts": None})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "body": batch["body"].astype("Int64"), "n": sizes, "fp": prints, "parity": parity, "id": pd.array([x and set_id(x) for x in prints], dtype="Int64"), "slice": -1, "counts": None, **dict(zip(NARROW, narrow.T, strict=True))})
         add()
         parts = [(i, x) for i, x in enumerate(np.split(counts, SLICES)) if x.any()]
         none = pd.array([None] * len(parts), dtype="Int64")
-        yield pd.DataFrame({"doc_id": none, "body": none, "n": 0, "fp": None, "parity": None, "id": none, "slice": [i for i, _ in parts], "counts": [zlib.compress(x.tobytes(), 1) for _, x in parts]})
+        yield pd.DataFrame({"doc_id": none, "body": none, "n": 0, "fp": None, "parity": None, "id": none, "slice": [i for i, _ in parts], "counts": [zlib.compress(x.tobytes(), 1) for _, x in parts], **dict.fromkeys(NARROW, 0)})
 
     return scan
 
@@ -136,23 +141,24 @@ def _needed(size, p: int, q: int):
     return (p * size + q - 1) // q
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of the set's hashes fall on i; two to four bits a member."""
-    bits = max(6, int(len(s)).bit_length() + 1)
+def _parity(s: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bit i tells whether an odd number of the set's hashes fall on i; two to four bits a member, or 2^bits."""
+    bits = bits or max(6, int(len(s)).bit_length() + 1)
     odd = np.bincount((_mix(s, 7) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _prefixes(s: np.ndarray, level: np.ndarray, p: int, q: int, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The first order's prefix, and a 128-bit filter of each other order's prefix."""
+def _prefixes(s: np.ndarray, level: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first order's prefix; a 128-bit filter of each other order's prefix, and the first prefix's last place (of signed order)."""
     length = len(s) - _needed(len(s), p, q) + 1
     rare = level[_buckets(s)].astype(np.uint64) << _U(56)
-    first, rest = None, np.zeros(4, dtype=np.uint64)
-    for order in range(3 if every else 1):
+    first, rest = None, np.zeros(5, dtype=np.uint64)
+    for order in range(3):
         key = rare | (_mix(s, 11 + order) >> _U(8))
-        chosen = s[key <= np.partition(key, length - 1)[length - 1]]
+        last = np.partition(key, length - 1)[length - 1]
+        chosen = s[key <= last]
         if order == 0:
-            first = chosen
+            first, rest[4] = chosen, last ^ _U(1 << 63)
         else:
             at = (_mix(chosen, 21 + order) >> _U(57)).astype(np.int64)
             for half in (0, 1):
@@ -169,11 +175,11 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The first prefixes of each different set, dealt by ranges of the token's hash, many tokens to a row.
 
-        Hot tokens are dealt by the set's id instead, to ranges of their own.
+        Hot tokens are dealt by the set's id instead, to ranges of their own, and so are the filters of the other orders.
         """
         hasher, level, seen = Hasher(k), np.frombuffer(levels.value, dtype=np.uint8), set()
         for batch in batches:
-            tokens, owner, ids = [], [], []
+            tokens, owner, ids, rests = [], [], [], []
             for text in batch["text"]:
                 s = hasher.shingles(text)
                 fp = fingerprint(s)
@@ -181,13 +187,14 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
-                first, _ = _prefixes(s, level, p, q, False)
+                first, rest = _prefixes(s, level, p, q)
+                rests.append(rest)
                 tokens.append(first)
                 owner.append(np.full(len(first), len(ids), dtype=np.int32))
                 ids.append(set_id(fp))
             if not ids:
                 continue
-            tokens, owner, ids = np.concatenate(tokens), np.concatenate(owner), np.array(ids, dtype=np.int64)
+            tokens, owner, ids, rests = np.concatenate(tokens), np.concatenate(owner), np.array(ids, dtype=np.int64), np.stack(rests)
             spread = lambda x: ((x >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
             to = spread(tokens)
             hot = level[_buckets(tokens)] >= HOT_LEVEL
@@ -198,15 +205,25 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
             for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 here = order[low:high]
                 used, index = np.unique(owner[here], return_inverse=True)
-                out.append((int(to[here[0]]), tokens[here].tobytes(), index.astype(np.int32).tobytes(), ids[used].tobytes()))
-            yield pd.DataFrame(out, columns=["r", "tokens", "owner", "ids"])
+                out.append((int(to[here[0]]), tokens[here].tobytes(), index.astype(np.int32).tobytes(), ids[used].tobytes(), None))
+            by_id = 2 * ranges + spread(_mix(ids.view(np.uint64), 31))
+            out += [(int(r), b"", b"", ids[by_id == r].tobytes(), rests[by_id == r].tobytes()) for r in np.unique(by_id)]
+            yield pd.DataFrame(out, columns=["r", "tokens", "owner", "ids", "rests"])
 
     return emit
 
 
 def _shared(ranges: int):
     def shared(group: pd.DataFrame) -> pd.DataFrame:
-        """Tokens and the sets that have them, each once, without tokens that one set alone has (hot ones are all kept)."""
+        """Tokens and the sets that have them, each once, without tokens that one set alone has (hot ones are all kept).
+
+        For ranges of filters, each set's filters, of the null token.
+        """
+        if group["r"].iloc[0] >= 2 * ranges:
+            ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group["ids"]])
+            rests = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 5) for x in group["rests"]])
+            ids, *rests = np.unique(np.column_stack([ids, rests]), axis=0).T
+            return pd.DataFrame({"t": pd.array([None] * len(ids), dtype="Int64"), "id": ids, **dict(zip([*ORDERS, LAST], rests, strict=True))})
         tokens = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group["tokens"]])
         ids = np.concatenate([np.frombuffer(i, dtype=np.int64)[np.frombuffer(o, dtype=np.int32)] for o, i in zip(group["owner"], group["ids"], strict=True)])
         order = np.lexsort((ids, tokens))
@@ -220,7 +237,7 @@ def _shared(ranges: int):
             several[1:] |= again
             several[:-1] |= again
             tokens, ids = tokens[several], ids[several]
-        return pd.DataFrame({"t": tokens, "id": ids})
+        return pd.DataFrame({"t": tokens, "id": ids, **dict.fromkeys([*ORDERS, LAST], pd.array([None] * len(ids), dtype="Int64"))})
 
     return shared
 
@@ -265,7 +282,7 @@ def close_enough(a: int, b: int, parity_a: bytes, parity_b: bytes, p: int, q: in
 def orders_agree(rest_a: bytes, rest_b: bytes) -> bool:
     """Whether sets may share a token in both other orders' prefixes."""
     both = np.frombuffer(rest_a, dtype=np.uint64) & np.frombuffer(rest_b, dtype=np.uint64)
-    return bool(both[:2].any() and both[2:].any())
+    return bool(both[:2].any() and both[2:4].any())
 
 
 def _verified(p: int, q: int):
@@ -315,8 +332,23 @@ def _compared(kept: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return hubs.groupBy("hub", "tile").cogroup(others.groupBy("hub", "tile")).applyInPandas(_verified(p, q), "a binary, b binary")
 
 
+def _may_link(a: Column, b: Column, p: int, q: int) -> Column:
+    """Whether two sets may reach the similarity, by what they carry: tokens of prefixes that no other prefix has, the
+    symmetric difference that the narrow parity bitmaps show, and a token that each other order's prefixes must share.
+
+    Of the two prefixes, all tokens of the one that ends first would be in the other if they were in its set: so its
+    tokens that no other prefix has are not in common (most: the set's size without them). Ends of two sets of one id are null.
+    """
+    common = F.when(a[LAST] < b[LAST], a["most"]).when(a[LAST] > b[LAST], b["most"]).otherwise(F.greatest(a["most"], b["most"]))
+    size = a["n"] + b["n"]
+    overlap = F.floor((p * size + (p + q - 1)) / (p + q))
+    differ = sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in NARROW[1:]), F.bit_count(a[NARROW[0]].bitwiseXOR(b[NARROW[0]])))
+    meet = [a[o].bitwiseAND(b[o]) != 0 for o in ORDERS]
+    return (common >= overlap) & (meet[0] | meet[1]) & (meet[2] | meet[3]) & (differ <= size - 2 * overlap)
+
+
 def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], p: int, q: int) -> DataFrame:
-    """From members (t, fp, n) of tokens, each set's (node, root) by links of the similarity: rounds of hubs, as above.
+    """From members (t, fp, m) of tokens, m what _may_link takes, each set's (node, root) by links of the similarity: rounds of hubs, as above.
 
     marks: (fp, n, parity) of all sets; fetch brings the whole sets of a table of fp, of so many at most. Only sets that sizes and parity leave are
     fetched, each once.
@@ -328,19 +360,19 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, in
         if roots is not None:
             members = members.join(roots, F.col("fp") == F.col("node"), "left")
             part = F.coalesce("root", "fp").alias("part")
-        members = members.select("t", "fp", "n", part)
+        members = members.select("t", "fp", "m", part)
         parts = members.groupBy("t", "part").agg(F.count(F.lit(1)).alias("_n"))
         parts = parts.groupBy(F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_size"), F.max_by("part", F.struct("_n", "part")).alias("_top"))
         parts = parts.filter("_parts > 1")
-        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "n", "part", "_top", "_size"), "open-groups", n_open)
+        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "m", "part", "_top", "_size"), "open-groups", n_open)
         n_open = open_groups.count()
         if not n_open:
             return roots if roots is not None else members.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
         hash_of = F.xxhash64(F.lit(step), "fp")
         draw = F.when(F.col("_size") <= max(SMALL_GROUP, MORE_HUBS**step // 2), hash_of).otherwise(F.pmod(hash_of, F.lit(min(MORE_HUBS**step, 1 << 20))))
-        hubs = open_groups.filter("part <> _top").groupBy(F.col("t").alias("_t"), draw.alias("_draw")).agg(F.min(F.struct("fp", "n", "part")).alias("_hub"))
-        hubs = hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.n").alias("_n"), F.col("_hub.part").alias("_part"))
-        near = (F.col("t") == F.col("_t")) & (F.col("part") != F.col("_part")) & (q * F.least("n", "_n") >= p * F.greatest("n", "_n"))
+        hubs = open_groups.filter("part <> _top").groupBy(F.col("t").alias("_t"), draw.alias("_draw")).agg(F.min(F.struct("fp", "m", "part")).alias("_hub"))
+        hubs = hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.m").alias("_m"), F.col("_hub.part").alias("_part"))
+        near = (F.col("t") == F.col("_t")) & (F.col("part") != F.col("_part")) & _may_link(F.col("m"), F.col("_m"), p, q)
         pairs = hubs.join(open_groups, near).select(F.least("hub", "fp").alias("hub"), F.greatest("hub", "fp").alias("fp")).distinct()
         most_hubs = max(SMALL_GROUP, MORE_HUBS**step)  # of a group
         kept = scratch.table(_near(pairs, marks, p, q), "passed", n_open * most_hubs)
@@ -354,7 +386,7 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, in
                 links = found if links is None else links.unionByName(found)
                 roots = scratch.broadcast_if_small(scratch.table(components(links), "roots", 2 * links.count()))
         met = hubs.select(F.col("_t"), F.col("hub").alias("_met"))
-        members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp", "n")
+        members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp", "m")
         step += 1
 
 
@@ -362,23 +394,27 @@ def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]
     """Tables of docs (doc_id, text): (doc_id, body, n, fp) for each row, body the text's hash, and (node, root) for each set with a link."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
-    scanned = scratch.table(docs.mapInPandas(_scan(k), "doc_id long, body long, n long, fp binary, parity binary, id long, slice int, counts binary"), "shingles")
-    own = scanned.filter("slice < 0").select("doc_id", "body", "n", "fp", "id", "parity")
+    scanned = scratch.table(docs.mapInPandas(_scan(k), "doc_id long, body long, n long, fp binary, parity binary, id long, slice int, counts binary, " + ", ".join(f"{w} long" for w in NARROW)), "shingles")
+    own = scanned.filter("slice < 0").select("doc_id", "body", "n", "fp", "id", "parity", *NARROW)
     levels = bytearray(1 << BUCKET_BITS)
     width = len(levels) // SLICES
     for row in scanned.filter("slice >= 0").groupBy("slice").applyInPandas(_summed, "slice int, levels binary").collect():  # 4 MB whatever the input
         levels[row["slice"] * width : (row["slice"] + 1) * width] = row["levels"]
     levels = spark.sparkContext.broadcast(bytes(levels))
     ranges = max(12, int((own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (q - p) // q) >> 20))
-    emitted = docs.select("text").mapInPandas(_emit(k, p, q, levels, ranges), "r int, tokens binary, owner binary, ids binary")
-    shared = scratch.table(emitted.groupBy("r").applyInPandas(_shared(ranges), "t long, id long"), "shared-tokens")
+    emitted = docs.select("text").mapInPandas(_emit(k, p, q, levels, ranges), "r int, tokens binary, owner binary, ids binary, rests binary")
+    met = scratch.table(emitted.groupBy("r").applyInPandas(_shared(ranges), "t long, id long, " + ", ".join(f"{o} long" for o in [*ORDERS, LAST])), "shared-tokens")
+    shared = met.filter("t is not null").select("t", "id")
+    orders = met.filter("t is null").groupBy(F.col("id").alias("_own")).agg(*[F.bit_or(o).alias(o) for o in ORDERS], F.when(F.count(F.lit(1)) == 1, F.min(LAST)).alias(LAST))
+    # of the tokens of a set's prefix, how many another prefix has, too
+    counted = shared.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_shared"))
     # of tokens that the very same sets share, one is enough
     alike = shared.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.col("id") % 1000003).alias("s"), F.min("id").alias("low")).filter("n > 1")
     alike = alike.groupBy("n", "x", "s", "low").agg(F.min("t").alias("_t"))
     shared = scratch.table(shared.join(alike.select("_t"), F.col("t") == F.col("_t"), "left_semi"), "tokens")
-    ids = shared.select(F.col("id").alias("_id")).distinct()
-    marks = own.filter("fp is not null").groupBy("fp", "id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("body").alias("body"))
-    marks = scratch.table(marks.join(ids, F.col("id") == F.col("_id"), "left_semi"), "marks")
+    marks = own.filter("fp is not null").groupBy("fp", "id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("body").alias("body"), *[F.first(w).alias(w) for w in NARROW])
+    most = F.least("n", F.ceil(F.col("n") * p / q).cast("long") - 1 + F.col("_shared")).alias("most")
+    marks = scratch.table(marks.join(counted, F.col("id") == F.col("_id")).join(orders, F.col("id") == F.col("_own")).select("fp", "id", "n", "parity", "body", F.struct("n", most, *NARROW, *ORDERS, LAST).alias("m")), "marks")
 
     def fetch(fps: DataFrame, most: int) -> DataFrame:
         """Whole sets, from a text of each: only texts whose hash may be wanted are cut into shingles again."""
@@ -388,7 +424,7 @@ def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]
         sets = wanted.mapInPandas(_sets(k, p, q, levels), "fp binary, rest binary, members binary")
         return scratch.table(sets.dropDuplicates(["fp"]), "whole-sets", SET_ROWS * most)
 
-    members = shared.join(marks.select(F.col("id").alias("_id"), "fp", "n"), F.col("id") == F.col("_id")).select("t", "fp", "n")
+    members = shared.join(marks.select(F.col("id").alias("_id"), "fp", "m"), F.col("id") == F.col("_id")).select("t", "fp", "m")
     return own, _linked(scratch.table(members, "members"), marks, fetch, p, q)
 
 
