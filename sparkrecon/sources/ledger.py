@@ -73,9 +73,8 @@ def pending(found: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataF
 
 
 def wide_enough(table: DataFrame, least: int) -> DataFrame:
-    """Rows with a value in the least-th column or a later one."""
-    late = table.columns[least - 1 :]
-    return table.filter(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in late]).isNotNull()) if late else table.limit(0)
+    """All rows of a sheet of at least so many columns, none of a narrower one: empty cells count as columns."""
+    return table if len(table.columns) >= least else table.limit(0)
 
 
 def names_between(table: DataFrame, column: str, order: Column, first: int = 1, last: int | None = None) -> DataFrame:
