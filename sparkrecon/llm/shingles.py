@@ -348,11 +348,13 @@ def _may_link(a: Column, b: Column, p: int, q: int) -> Column:
 
 
 def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], p: int, q: int) -> DataFrame:
-    """From members (t, fp, m) of tokens, m what _may_link takes, each set's (node, root) by links of the similarity: rounds of hubs, as above.
+    """From members (t, fp) of tokens each set's (node, root) by links of the similarity: rounds of hubs, as above.
 
-    marks: (fp, n, parity) of all sets; fetch brings the whole sets of a table of fp, of so many at most. Only sets that sizes and parity leave are
+    marks: (fp, n, parity, m) of all sets, m what _may_link takes: it is joined to a round's hubs and open sets only, so
+    that what groups them stays narrow; fetch brings the whole sets of a table of fp, of so many at most. Only sets that sizes and parity leave are
     fetched, each once.
     """
+    carried = marks.select(F.col("fp").alias("_of"), "m")
     marks = scratch.broadcast_if_small(marks.select("fp", "n", "parity"), width=F.length("parity") + 16)
     links, roots, sets, step, n_open = None, None, None, 0, members.count()
     while True:  # each round takes a set out of every token that is still open
@@ -360,20 +362,22 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, in
         if roots is not None:
             members = members.join(roots, F.col("fp") == F.col("node"), "left")
             part = F.coalesce("root", "fp").alias("part")
-        members = members.select("t", "fp", "m", part)
+        members = members.select("t", "fp", part)
         parts = members.groupBy("t", "part").agg(F.count(F.lit(1)).alias("_n"))
         parts = parts.groupBy(F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_size"), F.max_by("part", F.struct("_n", "part")).alias("_top"))
         parts = parts.filter("_parts > 1")
-        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "m", "part", "_top", "_size"), "open-groups", n_open)
+        open_groups = scratch.table(members.join(parts, F.col("t") == F.col("_t")).select("t", "fp", "part", "_top", "_size"), "open-groups", n_open)
         n_open = open_groups.count()
         if not n_open:
             return roots if roots is not None else members.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
         hash_of = F.xxhash64(F.lit(step), "fp")
         draw = F.when(F.col("_size") <= max(SMALL_GROUP, MORE_HUBS**step // 2), hash_of).otherwise(F.pmod(hash_of, F.lit(min(MORE_HUBS**step, 1 << 20))))
-        hubs = open_groups.filter("part <> _top").groupBy(F.col("t").alias("_t"), draw.alias("_draw")).agg(F.min(F.struct("fp", "m", "part")).alias("_hub"))
-        hubs = hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.m").alias("_m"), F.col("_hub.part").alias("_part"))
+        hubs = open_groups.filter("part <> _top").groupBy(F.col("t").alias("_t"), draw.alias("_draw")).agg(F.min(F.struct("fp", "part")).alias("_hub"))
+        hubs = scratch.table(hubs.select("_t", F.col("_hub.fp").alias("hub"), F.col("_hub.part").alias("_part")), "hubs", n_open)
+        ours = hubs.join(carried, F.col("hub") == F.col("_of")).select("_t", "hub", "_part", F.col("m").alias("_m"))
+        theirs = open_groups.join(carried, F.col("fp") == F.col("_of")).select("t", "fp", "part", "m")
         near = (F.col("t") == F.col("_t")) & (F.col("part") != F.col("_part")) & _may_link(F.col("m"), F.col("_m"), p, q)
-        pairs = hubs.join(open_groups, near).select(F.least("hub", "fp").alias("hub"), F.greatest("hub", "fp").alias("fp")).distinct()
+        pairs = ours.join(theirs, near).select(F.least("hub", "fp").alias("hub"), F.greatest("hub", "fp").alias("fp")).distinct()
         most_hubs = max(SMALL_GROUP, MORE_HUBS**step)  # of a group
         kept = scratch.table(_near(pairs, marks, p, q), "passed", n_open * most_hubs)
         if n_kept := kept.count():
@@ -386,7 +390,7 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, in
                 links = found if links is None else links.unionByName(found)
                 roots = scratch.broadcast_if_small(scratch.table(components(links), "roots", 2 * links.count()))
         met = hubs.select(F.col("_t"), F.col("hub").alias("_met"))
-        members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp", "m")
+        members = open_groups.join(met, (F.col("t") == F.col("_t")) & (F.col("fp") == F.col("_met")), "left_anti").select("t", "fp")
         step += 1
 
 
@@ -424,7 +428,7 @@ def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]
         sets = wanted.mapInPandas(_sets(k, p, q, levels), "fp binary, rest binary, members binary")
         return scratch.table(sets.dropDuplicates(["fp"]), "whole-sets", SET_ROWS * most)
 
-    members = shared.join(marks.select(F.col("id").alias("_id"), "fp", "m"), F.col("id") == F.col("_id")).select("t", "fp", "m")
+    members = shared.join(marks.select(F.col("id").alias("_id"), "fp"), F.col("id") == F.col("_id")).select("t", "fp")
     return own, _linked(scratch.table(members, "members"), marks, fetch, p, q)
 
 
