@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.functions import documents as D
 from sparkrecon.functions import text as T
-from sparkrecon.operators import ladders, metrics, outputs, reports, rulings
+from sparkrecon.operators import ladders, layers, metrics, outputs, progress, reports, rulings
 from sparkrecon.plans.catalogue import query
 from sparkrecon.sources import ledger as sources
 from sparkrecon.streaming import queue
@@ -134,7 +134,7 @@ def company_match(spark, sf_dir):
 
 def _rulings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = F.col("o_custkey")
-    found = _t(spark, sf_dir, "orders").filter("o_orderkey % 4 < 3").select(
+    found = _t(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("key"), F.when(F.col("o_orderkey") % 4 == 0, F.array(_notice(c))).otherwise(F.array().cast("array<string>")).alias("notice_numbers"),
         F.when(F.col("o_orderkey") % 4 == 1, F.array(F.md5(c.cast("string")))).otherwise(F.array().cast("array<string>")).alias("respondents"),
         F.when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("（2025）"), c.cast("string"))).otherwise("").alias("court_number"),
@@ -251,9 +251,33 @@ def task_progress(spark, sf_dir):
     return queue.progress(states)
 
 
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract(text, '([A-Z][a-z]{6,})', 1) AS cap, regexp_extract(text, '([a-z]{4,}ing)', 1) AS ing, regexp_extract(text, '(\d{1,9})', 1) AS num FROM documents)
+           SELECT doc_id, CASE WHEN cap <> '' THEN cap WHEN ing <> '' THEN ing END AS word, CASE WHEN cap <> '' THEN 'capital' WHEN ing <> '' THEN 'ending' END AS source,
+           CASE WHEN cap <> '' THEN 0.9::DOUBLE * (CASE WHEN length(cap) > 100 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END) WHEN ing <> '' THEN 0.6::DOUBLE * (CASE WHEN length(ing) > 100 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END) END AS confidence,
+           CASE WHEN num <> '' THEN num::BIGINT::VARCHAR END AS figure FROM t""")
+def layered_rules(spark, sf_dir):
+    """Rules of two layers over whole texts: the rule 'ending' of the first layer takes the place of the second layer's."""
+    rules = [
+        (1, 0, "word", "capital", r"([A-Z][a-z]{6,})", 0.9, 1, None), (1, 1, "word", "ending", r"([a-z]+tion)", 0.95, 1, None),
+        (0, 1, "word", "ending", r"([a-z]{4,}ing)", 0.6, 1, None), (1, 0, "figure", "digits", r"(\d{1,9})", 1.0, 1, "parse_amount"),
+    ]
+    found = layers.extracted(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", spark.createDataFrame(rules, layers.RULE_ROWS))
+    return found.select("doc_id", F.col("word.value").alias("word"), F.col("word.source").alias("source"), F.col("word.confidence").alias("confidence"), F.col("figure.value").alias("figure"))
+
+
+@query("""SELECT 1 AS number, 'read' AS phase, count(*) AS n_rows, (count(*) FILTER (event_type = 'error'))::DOUBLE AS errors FROM events
+          UNION ALL SELECT 2, 'users', count(*), (count(*) FILTER (worst > 0))::DOUBLE FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS worst FROM events GROUP BY user_id)""")
+def phase_summary(spark, sf_dir):
+    """What the phases of a run counted while they ran."""
+    run = progress.Run(spark, "events")
+    events = run.phase("read", _t(spark, sf_dir, "events").select("user_id", "event_type"), errors=F.count_if(F.col("event_type") == "error"))
+    run.phase("users", events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("worst")), errors=F.count_if(F.col("worst") > 0))
+    return run.summary().select("number", "phase", F.col("rows").alias("n_rows"), F.try_element_at("counts", F.lit("errors")).alias("errors"))
+
+
 @query("SELECT c_custkey AS key, c_name AS name, row_number() OVER (ORDER BY c_custkey) AS row_no FROM customer WHERE c_custkey % 7 > 0 QUALIFY row_no BETWEEN 3 AND 40")
 def names_between(spark, sf_dir):
-    rows = _t(spark, sf_dir, "customer").filter("c_custkey % 7 > 0").select("c_custkey", "c_name")
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_name")).alias("c_name"))
     found = sources.names_between(rows, "c_name", F.col("c_custkey"), 3, 40)
     return rows.join(found, F.col("c_name") == F.col("name")).select(F.col("c_custkey").alias("key"), "name", "row_no")
 
