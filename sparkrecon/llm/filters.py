@@ -11,14 +11,14 @@ ROW_BITS = 32768
 MOST_BITS = 1 << 27
 
 
-def flagged(rows: DataFrame, key: Column, keys: DataFrame, into: str) -> DataFrame:
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, into: str, bits_a_key: int = 16) -> DataFrame:
     """Add into: false if key is surely not among keys (a written table of one column of 64-bit hashes); null keys are false.
 
-    A bitmap of 16 bits a key, MOST_BITS at most, is broadcast. Rows that are flagged without need are about one in
-    sixteen, more only where the keys outgrow the bitmap; they cost a join, never a row.
+    A bitmap of so many bits a key, MOST_BITS at most, is broadcast. Rows that are flagged without need are about one in
+    bits_a_key, more only where the keys outgrow the bitmap; they cost a join, never a row.
     """
     n = max(1, keys.count())
-    bits = min(MOST_BITS, max(ROW_BITS, 1 << (16 * n - 1).bit_length()))
+    bits = min(MOST_BITS, max(ROW_BITS, 1 << (bits_a_key * n - 1).bit_length()))
     name = keys.columns[0]
     slot = F.pmod(F.col(name), F.lit(bits))
     maps = keys.filter(F.col(name).isNotNull()).select((slot / ROW_BITS).cast("int").alias("_row"), (slot % ROW_BITS).alias("_bit"))

@@ -3,11 +3,12 @@
 A document's set holds the 64-bit hashes of its k-word shingles. Equal sets are one member. Two sets whose Jaccard
 similarity reaches p/q share, under every order of all shingles, one of their first s - ceil(s p/q) + 1 shingles
 (s: the size of the set). Three orders are used; each puts shingles of rare buckets first, and they differ in
-how they order shingles of equally rare buckets. The first order's prefixes bring sets together: of their tokens,
-only those that two sets share are kept, with the sets' ids alone. What must agree besides goes with a set to its tokens' groups, where a
-pair is made only if all of it does: a filter of each other order's prefix, the size without the tokens of the prefix that
-no other prefix has, and a parity bitmap of the whole set (a lower bound of the symmetric difference), of 512 bits there
-and of two to four bits a member in a second pass.
+how they order shingles of equally rare buckets. The first order's prefixes bring sets together: a set stays with a token
+only if another set of the token may be similar by its size and a parity bitmap of 128 bits (a lower bound of the symmetric
+difference); sets of tokens of more than MANY sets all stay. Only ids are kept. What must agree besides goes with a set to
+its tokens' groups, where a pair is made only if all of it does: a filter of each other order's prefix, the size without
+the tokens of the prefix that no such set has, and a parity bitmap of 512 bits there and of two to four bits a member in
+a second pass.
 
 The sets that share a token are then compared in rounds. In a round, each token whose sets are not linked yet names a
 few hubs, none from its largest linked part; they are compared with its other sets outside their own part: filters
@@ -33,11 +34,15 @@ BUCKET_BITS = 22
 SLICES = 64
 #: A token whose bucket has so many sets (as a level, four to an octave: 2^20) is dealt by set, not by token.
 HOT_LEVEL = 80
+#: Sets of a token up to which each looks for one that may be similar before it stays with the token.
+MANY = 256
 #: Groups of up to SMALL_GROUP sets have all of them as hubs in the first round, larger ones a single one; both numbers
 #: grow by MORE_HUBS each later round, the first from half of it.
 SMALL_GROUP, MORE_HUBS = 4, 64
 #: A whole set counts as so many rows where tasks are told how much they write.
 SET_ROWS = 16
+#: A row flagged without need costs a whole set: so many bits a key keep those below one in so many rows.
+ROW_BITS_A_KEY = 256
 #: Shingles in the sets that meet a hub in one task, and sets of one task.
 TILE_SHINGLES, TILE_SETS = 1 << 21, 512
 #: What a set carries to the tokens' groups: 64-bit words of a parity bitmap of 512 bits, and of the filters of two orders,
@@ -176,10 +181,11 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
         """The first prefixes of each different set, dealt by ranges of the token's hash, many tokens to a row.
 
         Hot tokens are dealt by the set's id instead, to ranges of their own, and so are the filters of the other orders.
+        With the ids of a range of tokens go the sets' signs.
         """
         hasher, level, seen = Hasher(k), np.frombuffer(levels.value, dtype=np.uint8), set()
         for batch in batches:
-            tokens, owner, ids, rests = [], [], [], []
+            tokens, owner, ids, rests, signs = [], [], [], [], []
             for text in batch["text"]:
                 s = hasher.shingles(text)
                 fp = fingerprint(s)
@@ -192,9 +198,10 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
                 tokens.append(first)
                 owner.append(np.full(len(first), len(ids), dtype=np.int32))
                 ids.append(set_id(fp))
+                signs.append(_sign(s))
             if not ids:
                 continue
-            tokens, owner, ids, rests = np.concatenate(tokens), np.concatenate(owner), np.array(ids, dtype=np.int64), np.stack(rests)
+            tokens, owner, ids, rests, signs = np.concatenate(tokens), np.concatenate(owner), np.array(ids, dtype=np.int64), np.stack(rests), np.stack(signs)
             spread = lambda x: ((x >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
             to = spread(tokens)
             hot = level[_buckets(tokens)] >= HOT_LEVEL
@@ -205,17 +212,45 @@ def _emit(k: int, p: int, q: int, levels, ranges: int):
             for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 here = order[low:high]
                 used, index = np.unique(owner[here], return_inverse=True)
-                out.append((int(to[here[0]]), tokens[here].tobytes(), index.astype(np.int32).tobytes(), ids[used].tobytes(), None))
+                r = int(to[here[0]])
+                out.append((r, tokens[here].tobytes(), index.astype(np.int32).tobytes(), ids[used].tobytes(), None, signs[used].tobytes() if r < ranges else None))
             by_id = 2 * ranges + spread(_mix(ids.view(np.uint64), 31))
-            out += [(int(r), b"", b"", ids[by_id == r].tobytes(), rests[by_id == r].tobytes()) for r in np.unique(by_id)]
-            yield pd.DataFrame(out, columns=["r", "tokens", "owner", "ids", "rests"])
+            out += [(int(r), b"", b"", ids[by_id == r].tobytes(), rests[by_id == r].tobytes(), None) for r in np.unique(by_id)]
+            yield pd.DataFrame(out, columns=["r", "tokens", "owner", "ids", "rests", "signs"])
 
     return emit
 
 
-def _shared(ranges: int):
+def _sign(s: np.ndarray) -> np.ndarray:
+    """A set's size and a parity bitmap of 128 bits, as five 32-bit numbers."""
+    return np.concatenate([[np.uint32(len(s))], _parity(s, 7).view(np.uint32)]).astype(np.uint32)
+
+
+def _partnered(tokens: np.ndarray, signs: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Which sets of tokens (sorted by token, then size) have another set of the token that may be similar by its sign; all sets of tokens of more than MANY."""
+    size, bits = signs[:, 0].astype(np.int64), signs[:, 1:]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+    many = np.diff(starts, append=len(tokens))
+    last = np.repeat(starts + many - 1, many)
+    stays = np.repeat(many > MANY, many)
+    left = np.flatnonzero(~stays)
+    for step in range(1, MANY):
+        left = left[left + step <= last[left]]
+        left = left[q * size[left] >= p * size[left + step]]  # the sets after that one are larger still
+        if not len(left):
+            break
+        a = left[~(stays[left] & stays[left + step])]
+        b = a + step
+        both = size[a] + size[b]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        near = differ <= both - 2 * ((p * both + p + q - 1) // (p + q))
+        stays[a[near]] = stays[b[near]] = True
+    return stays
+
+
+def _shared(ranges: int, p: int, q: int):
     def shared(group: pd.DataFrame) -> pd.DataFrame:
-        """Tokens and the sets that have them, each once, without tokens that one set alone has (hot ones are all kept).
+        """Tokens and the sets that have them, each once, without sets that are similar to no other of the token by their signs (hot ones are all kept).
 
         For ranges of filters, each set's filters, of the null token.
         """
@@ -225,19 +260,27 @@ def _shared(ranges: int):
             ids, *rests = np.unique(np.column_stack([ids, rests]), axis=0).T
             return pd.DataFrame({"t": pd.array([None] * len(ids), dtype="Int64"), "id": ids, **dict(zip([*ORDERS, LAST], rests, strict=True))})
         tokens = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group["tokens"]])
-        ids = np.concatenate([np.frombuffer(i, dtype=np.int64)[np.frombuffer(o, dtype=np.int32)] for o, i in zip(group["owner"], group["ids"], strict=True)])
-        order = np.lexsort((ids, tokens))
-        tokens, ids = tokens[order], ids[order]
+        owner, known = [], 0
+        for o, i in zip(group["owner"], group["ids"], strict=True):
+            owner.append(np.frombuffer(o, dtype=np.int32) + np.int32(known))
+            known += len(i) // 8
+        owner, ids = np.concatenate(owner), np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group["ids"]])
+        signs = np.zeros((len(ids), 5), dtype=np.uint32)
+        if group["r"].iloc[0] < ranges:
+            signs = np.concatenate([np.frombuffer(x, dtype=np.uint32).reshape(-1, 5) for x in group["signs"]])
+        order = np.lexsort((ids[owner], signs[owner, 0], tokens))
+        tokens, owner = tokens[order], owner[order]
         fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
-        tokens, ids = tokens[fresh], ids[fresh]
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (ids[owner[1:]] != ids[owner[:-1]]) | (signs[owner[1:]] != signs[owner[:-1]]).any(axis=1)
+        tokens, owner = tokens[fresh], owner[fresh]
         if group["r"].iloc[0] < ranges:
-            again = tokens[1:] == tokens[:-1]
             several = np.zeros(len(tokens), bool)
-            several[1:] |= again
-            several[:-1] |= again
-            tokens, ids = tokens[several], ids[several]
-        return pd.DataFrame({"t": tokens, "id": ids, **dict.fromkeys([*ORDERS, LAST], pd.array([None] * len(ids), dtype="Int64"))})
+            several[1:] = tokens[1:] == tokens[:-1]
+            several[:-1] |= several[1:]
+            tokens, owner = tokens[several], owner[several]
+            stays = _partnered(tokens, signs[owner], p, q)
+            tokens, owner = tokens[stays], owner[stays]
+        return pd.DataFrame({"t": tokens, "id": ids[owner], **dict.fromkeys([*ORDERS, LAST], pd.array([None] * len(owner), dtype="Int64"))})
 
     return shared
 
@@ -286,18 +329,19 @@ def orders_agree(rest_a: bytes, rest_b: bytes) -> bool:
 
 
 def _verified(p: int, q: int):
-    def verified(hubs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        """The sets of others that the other orders let pass and whose exact similarity with the hub reaches p/q."""
-        found = []
-        if len(hubs) and len(others):
-            hub, rest = np.frombuffer(hubs["hub_members"].iloc[0], dtype=np.uint64), hubs["hub_rest"].iloc[0]
+    def verified(tile: pd.DataFrame) -> pd.DataFrame:
+        """The sets of a hub's tile that the other orders let pass and whose exact similarity with the hub reaches p/q."""
+        found, hubs = [], tile[tile["own"]]
+        if len(hubs):
+            hub, rest = np.frombuffer(hubs["members"].iloc[0], dtype=np.uint64), hubs["rest"].iloc[0]
+            others = tile[~tile["own"]]
             for fp, other, members in zip(others["fp"], others["rest"], others["members"], strict=True):
                 if not orders_agree(rest, other):
                     continue
                 s = np.frombuffer(members, dtype=np.uint64)
                 both = len(np.intersect1d(hub, s, assume_unique=True))
                 if q * both >= p * (len(hub) + len(s) - both):
-                    found.append((hubs["hub"].iloc[0], fp))
+                    found.append((tile["hub"].iloc[0], fp))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return verified
@@ -323,13 +367,11 @@ def _compared(kept: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """
     tiles = F.ceil(F.greatest(F.sum("n") / TILE_SHINGLES, F.count(F.lit(1)) / TILE_SETS)).cast("int")
     tiles = kept.groupBy(F.col("hub").alias("_hub")).agg(tiles.alias("tiles"))
-    whole = sets.select(F.col("fp").alias("_of"), "rest", "members")
-    hubs = tiles.join(whole, F.col("_hub") == F.col("_of")).select(
-        F.col("_hub").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("rest").alias("hub_rest"), F.col("members").alias("hub_members")
-    )
-    others = kept.join(tiles, F.col("hub") == F.col("_hub")).join(whole, F.col("fp") == F.col("_of"))
-    others = others.select("hub", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), "fp", "rest", "members")
-    return hubs.groupBy("hub", "tile").cogroup(others.groupBy("hub", "tile")).applyInPandas(_verified(p, q), "a binary, b binary")
+    hubs = tiles.select(F.col("_hub").alias("_fp"), F.col("_hub").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("own"))
+    others = kept.join(tiles, F.col("hub") == F.col("_hub"))
+    others = others.select(F.col("fp").alias("_fp"), "hub", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), F.lit(False).alias("own"))
+    asked = hubs.union(others).join(sets, F.col("_fp") == F.col("fp")).select("hub", "tile", "own", "fp", "rest", "members")
+    return asked.groupBy("hub", "tile").applyInPandas(_verified(p, q), "a binary, b binary")
 
 
 def _may_link(a: Column, b: Column, p: int, q: int) -> Column:
@@ -352,11 +394,11 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, in
 
     marks: (fp, n, parity, m) of all sets, m what _may_link takes: it is joined to a round's hubs and open sets only, so
     that what groups them stays narrow; fetch brings the whole sets of a table of fp, of so many at most. Only sets that sizes and parity leave are
-    fetched, each once.
+    fetched, in each round that asks for them: they go from their texts to the comparisons and are not written.
     """
     carried = marks.select(F.col("fp").alias("_of"), "m")
     marks = scratch.broadcast_if_small(marks.select("fp", "n", "parity"), width=F.length("parity") + 16)
-    links, roots, sets, step, n_open = None, None, None, 0, members.count()
+    links, roots, step, n_open = None, None, 0, members.count()
     while True:  # each round takes a set out of every token that is still open
         part = F.col("fp").alias("part")
         if roots is not None:
@@ -382,10 +424,7 @@ def _linked(members: DataFrame, marks: DataFrame, fetch: Callable[[DataFrame, in
         kept = scratch.table(_near(pairs, marks, p, q), "passed", n_open * most_hubs)
         if n_kept := kept.count():
             wanted = kept.select("fp").union(kept.select("hub")).distinct()
-            wanted = wanted if sets is None else wanted.join(sets.select(F.col("fp").alias("_had")), F.col("fp") == F.col("_had"), "left_anti")
-            fetched = fetch(wanted, 2 * n_kept)
-            sets = fetched if sets is None else sets.unionByName(fetched)
-            found = scratch.table(_compared(kept, sets, p, q), "links", SET_ROWS * n_kept)
+            found = scratch.table(_compared(kept, fetch(wanted, 2 * n_kept), p, q), "links", SET_ROWS * n_kept)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 roots = scratch.broadcast_if_small(scratch.table(components(links), "roots", 2 * links.count()))
@@ -400,33 +439,35 @@ def link(docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
     scanned = scratch.table(docs.mapInPandas(_scan(k), "doc_id long, body long, n long, fp binary, parity binary, id long, slice int, counts binary, " + ", ".join(f"{w} long" for w in NARROW)), "shingles")
     own = scanned.filter("slice < 0").select("doc_id", "body", "n", "fp", "id", "parity", *NARROW)
+    place = F.xxhash64("doc_id", "body")
     levels = bytearray(1 << BUCKET_BITS)
     width = len(levels) // SLICES
     for row in scanned.filter("slice >= 0").groupBy("slice").applyInPandas(_summed, "slice int, levels binary").collect():  # 4 MB whatever the input
         levels[row["slice"] * width : (row["slice"] + 1) * width] = row["levels"]
     levels = spark.sparkContext.broadcast(bytes(levels))
     ranges = max(12, int((own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (q - p) // q) >> 20))
-    emitted = docs.select("text").mapInPandas(_emit(k, p, q, levels, ranges), "r int, tokens binary, owner binary, ids binary, rests binary")
-    met = scratch.table(emitted.groupBy("r").applyInPandas(_shared(ranges), "t long, id long, " + ", ".join(f"{o} long" for o in [*ORDERS, LAST])), "shared-tokens")
+    emitted = docs.select("text").mapInPandas(_emit(k, p, q, levels, ranges), "r int, tokens binary, owner binary, ids binary, rests binary, signs binary")
+    met = scratch.table(emitted.groupBy("r").applyInPandas(_shared(ranges, p, q), "t long, id long, " + ", ".join(f"{o} long" for o in [*ORDERS, LAST])), "shared-tokens")
     shared = met.filter("t is not null").select("t", "id")
     orders = met.filter("t is null").groupBy(F.col("id").alias("_own")).agg(*[F.bit_or(o).alias(o) for o in ORDERS], F.when(F.count(F.lit(1)) == 1, F.min(LAST)).alias(LAST))
-    # of the tokens of a set's prefix, how many another prefix has, too
-    counted = shared.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_shared"))
+    # of the tokens of a set's prefix, how many it stays with
+    counted = scratch.table(shared.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_shared")), "counted")
     # of tokens that the very same sets share, one is enough
     alike = shared.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.col("id") % 1000003).alias("s"), F.min("id").alias("low")).filter("n > 1")
     alike = alike.groupBy("n", "x", "s", "low").agg(F.min("t").alias("_t"))
     shared = scratch.table(shared.join(alike.select("_t"), F.col("t") == F.col("_t"), "left_semi"), "tokens")
-    marks = own.filter("fp is not null").groupBy("fp", "id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("body").alias("body"), *[F.first(w).alias(w) for w in NARROW])
+    marks = filters.flagged(own.filter("fp is not null"), F.col("id"), counted.select("_id"), "_maybe").filter("_maybe")
+    marks = marks.groupBy("fp", "id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min(place).alias("row"), *[F.first(w).alias(w) for w in NARROW])
     most = F.least("n", F.ceil(F.col("n") * p / q).cast("long") - 1 + F.col("_shared")).alias("most")
-    marks = scratch.table(marks.join(counted, F.col("id") == F.col("_id")).join(orders, F.col("id") == F.col("_own")).select("fp", "id", "n", "parity", "body", F.struct("n", most, *NARROW, *ORDERS, LAST).alias("m")), "marks")
+    marks = scratch.table(marks.join(counted, F.col("id") == F.col("_id")).join(orders, F.col("id") == F.col("_own")).select("fp", "id", "n", "parity", "row", F.struct("n", most, *NARROW, *ORDERS, LAST).alias("m")), "marks")
 
     def fetch(fps: DataFrame, most: int) -> DataFrame:
-        """Whole sets, from a text of each: only texts whose hash may be wanted are cut into shingles again."""
+        """Whole sets, from one row of each: only rows whose hash may be wanted are cut into shingles again."""
         fps = fps.select(F.col("fp").alias("_fp"))
-        bodies = scratch.table(marks.join(fps, F.col("fp") == F.col("_fp"), "left_semi").select("body"), "bodies", most)
-        wanted = filters.flagged(docs, F.col("body"), bodies, "_maybe").filter("_maybe").select("text")
+        rows = scratch.table(marks.join(fps, F.col("fp") == F.col("_fp"), "left_semi").select("row"), "wanted-rows", most)
+        wanted = filters.flagged(docs, place, rows, "_maybe", ROW_BITS_A_KEY).filter("_maybe").select("text")
         sets = wanted.mapInPandas(_sets(k, p, q, levels), "fp binary, rest binary, members binary")
-        return scratch.table(sets.dropDuplicates(["fp"]), "whole-sets", SET_ROWS * most)
+        return sets.dropDuplicates(["fp"])
 
     members = shared.join(marks.select(F.col("id").alias("_id"), "fp"), F.col("id") == F.col("_id")).select("t", "fp")
     return own, _linked(scratch.table(members, "members"), marks, fetch, p, q)

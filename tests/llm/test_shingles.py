@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import registry, shingles
+from sparkrecon.llm import filters, registry, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -82,3 +83,52 @@ def test_one_of_each(spark):
 def test_query(spark, sf):
     rows = list(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     assert sorted(map(tuple, registry.op8_jaccard_join(spark, sf).collect()), key=repr) == brute(rows, 3, 90, 100)
+
+
+def test_sets_that_share_rare_tokens_only(spark, monkeypatch):
+    passage = lambda i, j: " ".join(f"p{min(i, j)}-{max(i, j)}-{w}" for w in range(30))  # noqa: E731  that two rows have
+    rows = [(i, " ".join(passage(i, j) for j in range(13) if j != i)) for i in range(13)]
+    near = [(100, rows[0][1] + " end"), (101, rows[1][1] + " end")]
+    kept = {}
+
+    def table(df, name, rows=None, write=shingles.scratch.table):
+        out = write(df, name, rows)
+        if name in ("shared-tokens", "marks"):
+            kept[name] = out.filter("t is not null").count() if name == "shared-tokens" else out.count()
+        return out
+
+    monkeypatch.setattr(shingles.scratch, "table", table)
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+    assert kept == {"shared-tokens": 0, "marks": 0}
+    assert run(spark, rows + near, 3, 90, 100) == brute(rows + near, 3, 90, 100)
+    assert kept["marks"] == 4
+
+
+def test_each_similar_pair_stays_with_its_token():
+    rng = np.random.default_rng(6)
+    for p, q in ((90, 100), (80, 100), (1, 1)):
+        for members, times in ((3, 1), (40, 1), (shingles.MANY, 1), (shingles.MANY + 1, 2)):
+            sets = []
+            for _ in range(members):
+                base = sets[rng.integers(len(sets))] if len(sets) and rng.random() < 0.3 else rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64)
+                drop = rng.random(len(base)) < rng.choice([0.02, 0.1, 0.3])
+                sets.append(np.unique(np.concatenate([base[~drop], rng.integers(0, 2**64, 1 + drop.sum() // 2, dtype=np.uint64)])))
+            sets.sort(key=len)
+            tokens = np.repeat(np.arange(times), members)
+            stays = shingles._partnered(tokens, np.stack([shingles._sign(s) for s in sets] * times), p, q)
+            if members > shingles.MANY:
+                assert stays.all()
+            for i, a in enumerate(sets):
+                for j in range(i):
+                    both = len(np.intersect1d(a, sets[j])) if q * len(sets[j]) >= p * len(a) else 0
+                    if q * both >= p * (len(a) + len(sets[j]) - both):
+                        assert stays[[i, j]].all()
+    assert shingles._partnered(np.empty(0), np.empty((0, 5), dtype=np.uint32), 90, 100).tolist() == []
+
+
+def test_set_of_a_row_flagged_alone(spark):
+    docs = spark.createDataFrame([(i, f"t {i}") for i in range(20000)], "doc_id long, text string")
+    keys = docs.filter("doc_id < 300").select(F.xxhash64("text").alias("key"))
+    few = filters.flagged(docs, F.xxhash64("text"), keys, "maybe", 256).filter("maybe")
+    assert few.filter("doc_id < 300").count() == 300
+    assert few.count() < 300 + 20000 // 128
