@@ -11,7 +11,7 @@ from sparkrecon.functions import documents as D
 from sparkrecon.functions import text as T
 from sparkrecon.operators import ladders, matching, rulings, tables
 from sparkrecon.operators.outputs import numbered
-from sparkrecon.operators.store import written
+from sparkrecon.operators.store import shuffled, written
 
 # Parts of the names of files that have to be looked at, and the marks of the kinds of output.
 LOOK, SEEN, UNMATCHED, UNREAD, BY = "需人工核查", "识别到", "未匹配台账", "未识别到责令号", "匹配方式"
@@ -115,10 +115,10 @@ def company_exports(pages: DataFrame, targets: DataFrame, file: str, page: str,
     are to be looked at.
     """
     read = written(pages.select(file, page, D.target_company(F.col(text)).alias("company")))
-    pairs = ladders.company_pairs(read, "company", targets, "target", "target_no").join(targets.select("target_no", F.col(file).alias("_file"), F.col("target").alias("_target")), "target_no")
-    pairs = read.join(pairs, (F.col("company") == F.col("name")) & (F.col(file) == F.col("_file"))).select(file, page, "target_no", "rank", "_target")
+    pairs = ladders.company_pairs(read, "company", targets, "target", "target_no").join(shuffled(targets.select("target_no", F.col(file).alias("_file"), F.col("target").alias("_target"))), "target_no")
+    pairs = read.join(shuffled(pairs), (F.col("company") == F.col("name")) & (F.col(file) == F.col("_file"))).select(file, page, "target_no", "rank", "_target")
     given = matching.assign_one_to_one(pairs, file, page, "target_no", [F.col(page), F.col("rank")]).select(file, page, "target_no", "_target")
-    joined = read.join(given, [file, page], "left")
+    joined = read.join(shuffled(given), [file, page], "left")
     at = F.concat(F.lit(f"{doc_type}_第"), F.col(page).cast("string"), F.lit("页_"))
     missing = F.concat(at, F.lit(f"{SEEN}["), _safe(F.col("company")), F.lit(f"]_{MISSING}_{LOOK}.pdf"))
     matched, seen = F.col("target_no").isNotNull(), F.col("company").isNotNull()
