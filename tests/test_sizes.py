@@ -11,7 +11,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["near_names", "company_rungs_match", "company_match"])
+@pytest.mark.parametrize("name", ["near_names", "company_rungs_match", "company_match", "rulings_to_ledger", "enforcement_flow"])
 def test_no_table_is_broadcast_by_estimate(spark, sf, name):
     assert "BroadcastHashJoin" not in plan(catalogue.QUERIES[name](spark, sf))
 
